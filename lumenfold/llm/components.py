@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,3 +56,38 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = up
         if np.array_equal(root, before):
             return nodes, nodes[root]
+
+
+def group_by_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame, star_rounds: int = 3) -> DataFrame:
+    """(doc_id, kept_id, group_size) of the components that ``verified`` pairs out of common buckets make, with the ``known`` edges.
+
+    ``members`` has (bucket, doc_id); ``verified`` keeps those of the pairs (a, b) that are alike. Only connection counts, so
+    each document is compared with one lead first, then in ``star_rounds`` rounds with other leads of buckets that
+    still hold several components, and whatever is apart after that pair by pair: no partner is left out, however
+    large a bucket is.
+    """
+    lead = members.groupBy("bucket").agg(F.min("doc_id").alias("lead")).join(members, "bucket").groupBy("doc_id").agg(F.min("lead").alias("lead"))
+    pairs = lead.where("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    links = scratch.save(verified(pairs), "links0")
+    done = ["links0"]
+    for k in range(1, star_rounds + 2):
+        roots = components(links, scratch, f"round{k}")
+        placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias("lead")).where("low < high").select("bucket", "lead")
+        open_ = scratch.save(placed.join(apart, "bucket"), f"open{k}")
+        done.append(f"open{k}")
+        if open_.isEmpty():
+            break
+        if k <= star_rounds:
+            first = open_.where("doc_id = lead").select("bucket", F.col("root").alias("lead_root")).distinct()
+            todo = open_.join(first, "bucket").where("root <> lead_root").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+        else:
+            other = open_.select("bucket", F.col("doc_id").alias("b"), F.col("root").alias("r"))
+            todo = open_.select("bucket", F.col("doc_id").alias("a"), "root").join(other, "bucket").where("root <> r and a < b").select("a", "b")
+        done.append(f"links{k}")
+        links = links.union(scratch.save(verified(todo.distinct()), f"links{k}"))
+    roots = components(links.union(known), scratch, "all")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("group_size"))
+    found = scratch.save(roots.where("node <> root").join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"), "group_size"), "result")
+    scratch.drop(*done)
+    return found

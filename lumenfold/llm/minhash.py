@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .components import components
+from .components import group_by_buckets
 from .scratch import Scratch
 
 U = np.uint64
@@ -120,31 +120,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = pairs.join(right, "b").join(left, "a").where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
         return p.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    tried = members.groupBy("bucket").agg(F.min("doc_id").alias("lead")).join(members, "bucket").groupBy("doc_id").agg(F.min("lead").alias("lead"))
-    pairs = tried.where("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-    links = scratch.save(verified(pairs), "links0")
-    names = ["links0"]
-    for k in range(1, star_rounds + 2):
-        roots = components(links, scratch, f"round{k}")
-        placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        # Of a bucket's members, as many components as there are still have to be compared.
-        apart = placed.groupBy("bucket").agg(F.countDistinct("root").alias("roots"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias("lead")).where("roots > 1")
-        open_ = scratch.save(placed.join(apart, "bucket"), f"open{k}")
-        if open_.isEmpty():
-            break
-        if k <= star_rounds:
-            lead = open_.where("doc_id = lead").select("bucket", F.col("root").alias("lead_root"))
-            todo = open_.join(lead, "bucket").where("root <> lead_root").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
-        else:
-            other = open_.select("bucket", F.col("doc_id").alias("b"), F.col("root").alias("r"))
-            todo = open_.select("bucket", F.col("doc_id").alias("a"), "root").join(other, "bucket").where("root <> r and a < b").select("a", "b")
-        names.append(f"links{k}")
-        links = links.union(scratch.save(verified(todo.distinct()), names[-1]))
-    roots = components(links.union(exact), scratch, "all")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("group_size"))
-    found = roots.where("node <> root").join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"), "group_size")
-    found = scratch.save(found, "result")
-    scratch.drop("sketches", "exact", "buckets", "members", "sets", *names, *(f"open{k}" for k in range(1, star_rounds + 2)))
+    found = group_by_buckets(members, verified, scratch, exact, star_rounds)
+    scratch.drop("sketches", "exact", "buckets", "members", "sets")
     return found
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
