@@ -14,6 +14,14 @@ from .scratch import Scratch
 #: Edges up to this number (16 bytes each) are resolved in the driver; more, by rounds of star contraction in Spark.
 DRIVER_EDGES = 2_000_000
 
+#: Ids up to this number (about 24 bytes each in a hash table) are broadcast to filter a table of them; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only(df: DataFrame, key: str, ids: DataFrame, count: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among the ``count`` rows of ``ids`` (a column of the same name)."""
+    return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, key, "left_semi")
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (a bigint, b bigint); root is the least node of its component.
@@ -58,18 +66,28 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
-def group_by_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame, star_rounds: int = 3) -> DataFrame:
-    """(doc_id, kept_id, group_size) of the components that ``verified`` pairs out of common buckets make, with the ``known`` edges.
+def group_by_buckets(members: DataFrame, alike: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], values: DataFrame, scratch: Scratch, known: DataFrame, star_rounds: int = 3) -> DataFrame:
+    """(doc_id, kept_id, group_size) of the components that alike pairs out of common buckets make, with the ``known`` edges.
 
-    ``members`` has (bucket, doc_id); ``verified`` keeps those of the pairs (a, b) that are alike. Only connection counts, so
+    ``members`` has (bucket, doc_id), ``values`` (doc_id, ...) what to compare; ``alike`` gets pairs (a, b) and the values of
+    the documents in them (twice) and keeps those that are alike. Only connection counts, so
     each document is compared with one lead first, then in ``star_rounds`` rounds with other leads of buckets that
     still hold several components, and whatever is apart after that pair by pair: no partner is left out, however
     large a bucket is.
     """
+
+    def verified(pairs: DataFrame, k: int) -> DataFrame:
+        pairs = scratch.save(pairs, f"pairs{k}")
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        some = only(values, "doc_id", ids, 2 * pairs.count())
+        done.append(f"pairs{k}")
+        done.append(f"links{k}")
+        return scratch.save(alike(pairs, some, some), f"links{k}")
+
+    done: list[str] = []
     lead = members.groupBy("bucket").agg(F.min("doc_id").alias("lead")).join(members, "bucket").groupBy("doc_id").agg(F.min("lead").alias("lead"))
     pairs = lead.where("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-    links = scratch.save(verified(pairs), "links0")
-    done = ["links0"]
+    links = verified(pairs, 0)
     for k in range(1, star_rounds + 2):
         roots = components(links, scratch, f"round{k}")
         placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -84,8 +102,7 @@ def group_by_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFra
         else:
             other = open_.select("bucket", F.col("doc_id").alias("b"), F.col("root").alias("r"))
             todo = open_.select("bucket", F.col("doc_id").alias("a"), "root").join(other, "bucket").where("root <> r and a < b").select("a", "b")
-        done.append(f"links{k}")
-        links = links.union(scratch.save(verified(todo.distinct()), f"links{k}"))
+        links = links.union(verified(todo.distinct(), k))
     roots = components(links.union(known), scratch, "all")
     sizes = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     found = scratch.save(roots.where("node <> root").join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"), "group_size"), "result")

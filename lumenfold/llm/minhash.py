@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .components import group_by_buckets
+from .components import group_by_buckets, only
 from .scratch import Scratch
 
 U = np.uint64
@@ -109,19 +109,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = reps.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("doc_id").alias("ids")).where("size(ids) > 1")
     buckets = scratch.save(buckets.select(F.array_sort("ids").alias("ids")).distinct().select(F.xxhash64("ids").alias("bucket"), "ids"), "buckets")
     members = scratch.save(buckets.select("bucket", F.explode("ids").alias("doc_id")), "members")
-    involved = members.select("doc_id").distinct()
-    sets = scratch.save(source.join(involved, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, n), "doc_id bigint, grams array<bigint>"), "sets")
-
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    involved = scratch.save(members.select("doc_id").distinct(), "involved")
+    sets = scratch.save(only(source, "doc_id", involved, involved.count()).mapInArrow(lambda it: _sets(it, n), "doc_id bigint, grams array<bigint>"), "sets")
     common = F.size(F.array_intersect("x", "y"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        p = pairs.join(right.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").join(left.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
         # The smaller set bounds the index, so hopeless pairs cost nothing.
-        p = pairs.join(right, "b").join(left, "a").where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
+        p = p.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
         return p.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    found = group_by_buckets(members, verified, scratch, exact, star_rounds)
-    scratch.drop("sketches", "exact", "buckets", "members", "sets")
+    found = group_by_buckets(members, alike, sets, scratch, exact, star_rounds)
+    scratch.drop("sketches", "exact", "buckets", "members", "involved", "sets")
     return found
 
 

@@ -49,3 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_near_duplicates": _documents(near_duplicates),
         "op10_pu_quality": lambda spark, sf_dir: quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
