@@ -102,14 +102,15 @@ class Corpus:
         """(id, score): rows with the terms in order in one field, each within ``slop`` of its place after the first; BM25 of all times ``boost``."""
         if not terms:
             return self.scored([], keep=())
-        in_field = []
-        for w in self.words(fields):
-            places = [positions(w, t) for t in terms]
+        def starts(places: list[Column]) -> Column:
+            """Whether any place of the first term has all others within reach; functions of one argument, as Spark passes an index as a second."""
 
-            def follows(s: Column, places=places) -> Column:
-                return reduce(lambda a, b: a & b, [F.exists(p, lambda x, i=i: F.abs(x - (s + i)) <= slop) for i, p in enumerate(places[1:], 1)], F.lit(True))
+            def near(i: int, s: Column) -> Column:
+                return F.exists(places[i], lambda x: F.abs(x - (s + i)) <= slop)
 
-            in_field.append(F.coalesce(F.exists(places[0], follows), F.lit(False)))
+            return F.exists(places[0], lambda s: reduce(lambda a, b: a & b, [near(i, s) for i in range(1, len(places))], F.lit(True)))
+
+        in_field = [F.coalesce(starts([positions(w, t) for t in terms]), F.lit(False)) for w in self.words(fields)]
         match = reduce(lambda a, b: a | b, in_field)
         # The cheap test first: positions are only looked at where every term occurs.
         match = reduce(lambda a, b: a & b, [self.frequency(t) > 0 for t in dict.fromkeys(terms)]) & match

@@ -86,7 +86,8 @@ def search(corpus: Corpus, request: Request, fields: Sequence[str] | None = None
     page = paging.page(keyed, keys, request.max_results, request.offset, request.search_after)
     # Fields are fetched for the page alone, which has max_results rows.
     page = page.select(corpus.id_col, "score")
-    full = corpus.rows.select(corpus.id_col, *dict.fromkeys([*fields, *sorted_by])).join(F.broadcast(page), corpus.id_col)
+    marked = [request.highlight["field"]] if request.highlight else []
+    full = corpus.rows.select(corpus.id_col, *dict.fromkeys([*fields, *sorted_by, *marked])).join(F.broadcast(page), corpus.id_col)
     full = paging.ordered(full, paging.sort_keys(full, request.sort, corpus.id_col, mode=request.sort_mode))
     shown = full.select(corpus.id_col, "score", *fields)
     if request.highlight:
