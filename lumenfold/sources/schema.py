@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROLES = {"Text": "string", "Keyword": "string", "Date": "string", "Boolean": "boolean", "Integer": "bigint", "Float": "double", "Vector": "array<float>"}
 FIELD = "struct<name: string, field_type: string, value: string>"
-NATIVE = T.StructType.fromDDL(f"id string, fields array<{FIELD}>")
+_FIELD = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "field_type", "value")])
+NATIVE = T.StructType([T.StructField("id", T.StringType()), T.StructField("fields", T.ArrayType(_FIELD))])
 
 
 def infer_roles(df: DataFrame, declared: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -40,14 +41,13 @@ def infer_roles(df: DataFrame, declared: Mapping[str, str] | None = None) -> dic
 
 def typed(native: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     """Native (id, fields) rows as one column for each field; values that don't parse become null, of repeated fields the first one that does counts."""
-    cols = []
-    for name, role in roles.items():
-        raw = F.transform(F.filter("fields", lambda f, n=name: f["name"] == n), lambda f: f["value"])
-        if role == "Vector":
-            each = F.transform(raw, lambda v: F.from_json(v, "array<float>"))
-        else:
-            each = F.transform(raw, lambda v, t=ROLES[role]: v.try_cast(t))
-        cols.append(F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0)).alias(name))
+
+    def column(name: str, role: str) -> Column:
+        raw = F.transform(F.filter("fields", lambda f: f["name"] == name), lambda f: f["value"])
+        each = F.transform(raw, lambda v: F.from_json(v, "array<float>") if role == "Vector" else v.try_cast(ROLES[role]))
+        return F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0)).alias(name)
+
+    cols = [column(name, role) for name, role in roles.items()]
     return native.select("id", *cols)
 
 
