@@ -15,14 +15,15 @@ from lumenfold.llm.mixing import mix_sources
 from lumenfold.llm.packing import packed_bins
 from lumenfold.llm.scratch import Scratch
 from lumenfold.llm.suffix import drop_repeated_passages
-from lumenfold.llm.toxicity import drop_toxic
+from lumenfold.llm.toxicity import LEXICON, drop_toxic, learned_terms
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon doesn't reject."""
-    return drop_toxic(docs)
+    """Documents that the lexicon doesn't reject; terms are added to it from the labelled ones among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs, lexicon=learned_terms(docs, labels) | LEXICON)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from .quality import quality_scores
 from .sharding import minimax_shards
 from .suffix import repeated_passages
 from .tokencodec import encode_documents
-from .toxicity import toxic_documents
+from .toxicity import LEXICON, learned_terms, toxic_documents
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -36,6 +36,11 @@ def _tokenizer(name: str) -> tuple[str, str]:
     return f"{TOKENIZERS}/{name}", public_tokenizers.PATTERN
 
 
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxic_documents(docs, lexicon=learned_terms(docs, _table(spark, sf_dir, "labels")) | LEXICON)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_space_filling_ann": lambda spark, sf_dir: nearest_neighbours(_table(spark, sf_dir, "embeddings")),
@@ -43,7 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minimax_shards": _documents(lambda d: minimax_shards(d, shards=64).withColumnRenamed("group", "doc_id")),
         "op4_entropy_mix": _documents(mixing_plan),
         "op5_suffix_repeats": _documents(repeated_passages),
-        "op6_toxicity": _documents(toxic_documents),
+        "op6_toxicity": _toxic,
         "op7_token_codec": _documents(lambda d: encode_documents(d, *_tokenizer("byte_bpe_50k.tiktoken"))),
         "op8_genetic_packing": _documents(pack),
         "op9_minhash_near_duplicates": _documents(near_duplicates),

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .scratch import Scratch
 
+U = np.uint64
 #: Term: weight. From 1, a single unquoted hit is enough for rejection at the default threshold.
 LEXICON: dict[str, float] = dict.fromkeys(
     "idiot idiots moron morons stupid loser losers scum scumbag trash worthless pathetic disgusting clown imbecile cretin dimwit nitwit halfwit dumbass jackass asshole bastard bitch douchebag filth vermin degenerate despicable fuck fucking shit motherfucker whore slut cunt retard retarded".split(),
@@ -172,6 +174,52 @@ def _score(column: pa.Array, lexicon: Lexicon, window: int, near: int, reach: in
             yield lo + row, window_score([i for i, _, _ in found], plain, said, window), sorted({t for _, t, _ in found})
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, h, before, toxic) of the distinct pairs of successive words in each piece; the word itself only where toxic."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for lo, hi, data, off in T.pieces(batch.column(0)):
+            low = T.LOWER[data]
+            start, end, first = T.runs(_INSIDE[data], off)
+            if not len(start):
+                continue
+            h = T.Prefix(T.CODES[low]).of(start, end)
+            before = np.concatenate((np.zeros(1, U), h[:-1]))
+            begins = first[:-1]
+            before[begins[begins < len(h)]] = U(0)
+            kind = np.repeat(toxic[lo:hi], np.diff(first))
+            at = np.flatnonzero(end - start >= 4)
+            key = T.mix(h[at] * U(T.BASE) + before[at] + kind[at].astype(U))
+            at = at[np.unique(key, return_index=True)[1]]
+            words = [low[start[i] : end[i]].tobytes().decode("utf-8", "replace") if kind[i] else None for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(h[at].view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(kind[at].astype(np.int8))], ["word", "h", "before", "toxic"])
+
+
+def learned_terms(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 8000, least: int = 4, ratio: float = 15.0, weight: float = 0.5) -> dict[str, float]:
+    """Terms of ``weight`` from at most ``bound`` labelled documents (those with the least id hashes), beside the built-in lexicon.
+
+    A word of four bytes or more is a term if it follows at least ``least`` different words in toxic documents, and
+    that is ``ratio`` times as often as in the others, in relation to all pairs of words. Counting what
+    goes before it, not documents, keeps copies of one toxic document from making terms of all its words. At weight 0.5 it takes two
+    such terms in a window for rejection. Null ids, labels other than 0 and 1 and ids without a document are ignored; of
+    several labels of an id the highest counts. No labels give no terms.
+    """
+    scratch = Scratch(docs.sparkSession)
+    chosen = labels.select(F.col(id_col).cast("bigint").alias("i"), F.col(label_col).cast("int").alias("toxic")).where("i is not null and toxic in (0, 1)")
+    chosen = chosen.groupBy("i").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("i"), "i").limit(bound)
+    # At most ``bound`` rows.
+    some = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("t", "toxic")
+    pairs = some.mapInArrow(_contexts, "word string, h bigint, before bigint, toxic tinyint").groupBy("h", "before", "toxic").agg(F.max("word").alias("word"))
+    pairs = scratch.save(pairs, "contexts")
+    total = {r["toxic"]: r["n"] for r in pairs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    found = pairs.groupBy("h").agg(F.max("word").alias("word"), F.sum(F.col("toxic").cast("bigint")).alias("a"), F.sum((F.col("toxic") == 0).cast("bigint")).alias("b"))
+    lift = F.col("a") / total.get(1, 1) * total.get(0, 1) / (F.col("b") + 0.5)
+    # As many rows as toxic documents of the bounded sample have such words.
+    out = {r["word"]: weight for r in found.where((F.col("a") >= least) & (lift >= ratio)).select("word").collect()}
+    scratch.drop("contexts")
+    return out
+
+
 def toxic_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 1.0, lexicon: Mapping[str, float] = LEXICON, ordinary: frozenset[str] = ORDINARY, window: int = 50, near: int = 8, reach: int = 200) -> DataFrame:
     """(doc_id, score, terms, rejected): the documents whose score reaches ``threshold``.
 
