@@ -10,6 +10,7 @@ from .capfilter import near_duplicate_vectors
 from .curves import nearest_neighbours
 from .minhash import near_duplicates
 from .mixing import mixing_plan
+from .oracles import oracle_sql as oracle_sql
 from .packing import pack
 from .quality import quality_scores
 from .sharding import minimax_shards
@@ -55,6 +56,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pu_quality": lambda spark, sf_dir: quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
     }
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
