@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CODES_LOWER = CODES[LOWER]
 #: Text bytes that are looked at together; a longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _powers = np.ones(1, U), np.ones(1, U)
 

@@ -1,16 +1,16 @@
 """Token ids as checksummed blocks of an adaptive context-mixing range coder.
 
 Order-2 and order-1 contexts each predict one id. Whether a prediction holds is coded with a probability
-mixed from two adaptive counters; an id that neither predicts is coded as two bytes by adaptive order-0
-frequencies. All arithmetic is in integers. Every block starts from the same state and can be decoded alone. Many
-blocks are coded in step, one lane of NumPy arrays each.
+mixed from two adaptive counters; an id that neither predicts is coded as two bytes by order-0
+frequencies, renewed from the block's ids so far. All arithmetic is in integers. Every block starts from the same state and can be
+decoded alone. Many blocks are coded in step, one lane of NumPy arrays each.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,120 +20,123 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-TOP, BOTTOM, MASK = 1 << 24, 1 << 16, (1 << 32) - 1
-#: Ids of a block at most; frequencies then stay below 2**16.
+#: Registers have 56 bits, so that they are renewed once for each id.
+TOP, BOTTOM, MASK = 1 << 48, 1 << 40, (1 << 56) - 1
+#: Ids of a block at most.
 BLOCK = 4096
 #: Blocks coded in step.
-LANES = 1024
-_GAIN = 12
-_BIT = 1 << 12
+LANES = 2048
+#: Ids that wait to be coded together, so that blocks of like length go in step.
+POOL = 8_000_000
+_BIT = 12
+_BYTE = 13
+_GAIN = 16
+_RENEW = 512
 
 
-class _State:
-    """Models and coder registers of ``n`` lanes; encoder and decoder go through the same steps."""
+class _Lanes:
+    """Models of blocks of the given sizes; encoder and decoder go through the same steps."""
 
-    def __init__(self, n: int):
+    def __init__(self, sizes: np.ndarray):
+        n = len(sizes)
         self.low = np.zeros(n, np.int64)
         self.range = np.full(n, MASK, np.int64)
-        self.two = np.zeros((n, BLOCK * 2), np.int32)  # (id + 1) * 8 + hits in a row
-        self.one = np.zeros((n, BLOCK * 2), np.int32)
-        self.flags = np.full((n, 2, 2, 64), _BIT // 2, np.int32)  # order, counter, context
-        self.weight = np.full((n, 2), 128, np.int32)
-        self.fine = np.ones((n, 2, 256), np.int32)
-        self.coarse = np.full((n, 2, 16), 16, np.int32)
-        self.total = np.full((n, 2), 256, np.int32)
+        # A block has as many slots of either order as ids, rounded up to a power of two.
+        slots = 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64)
+        self.mask, self.slot = slots - 1, np.cumsum(slots) - slots
+        self.guess = np.zeros((2, int(slots.sum())), np.int32)  # by order: (id + 1) * 8 + hits in a row
+        self.flags = np.full((2, 2, n * 64), 1 << (_BIT - 1), np.int32)  # by order and counter
+        self.weight = np.full((2, n), 128, np.int32)
         self.past = np.zeros(n, np.int64)  # the last six flags
-
-    def shrink(self, n: int) -> None:
-        for k, v in self.__dict__.items():
-            if isinstance(v, np.ndarray):
-                setattr(self, k, v[:n])
-
-    def renormalise(self, at: np.ndarray, shift) -> None:
+        self.counts = np.ones((n, 2, 256), np.int32)
+        self.cum = np.zeros((n, 2, 257), np.int16)
+        self.cum[:] = np.arange(257) << (_BYTE - 8)
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []  # ids since the frequencies were renewed, and which of them were coded as bytes
+
+    def renew(self, n: int) -> None:
+        """Frequencies from all ids that were coded as bytes; each byte keeps one of 2**_BYTE at least."""
+        flat = self.counts.reshape(-1)
+        for value, missed in self.seen:
+            at = np.flatnonzero(missed[:n])
+            v = value[at]
+            for part in (at * 512 + (v >> 8), at * 512 + 256 + (v & 255)):
+                flat[part] += _GAIN  # one id of a lane at a time
+        self.seen = []
+        c = self.counts[:n]
+        f = c * ((1 << _BYTE) - 256) // c.sum(2, keepdims=True, dtype=np.int32) + 1
+        np.cumsum(f, 2, out=self.cum[:n, :, 1:])
+        self.cum[:n, :, 256] = 1 << _BYTE
+
+    def renormalise(self, n: int, shift: Callable) -> None:
+        """Moves up to three settled bytes of all lanes at once, and again where there are more."""
         while True:
-            low, size = self.low[at], self.range[at]
-            settled = (low ^ (low + size)) < TOP
-            small = ~settled & (size < BOTTOM)
-            move = settled | small
-            if not move.any():
+            low, size = self.low[:n], self.range[:n]
+            x = low ^ (low + size)
+            settled = x < TOP
+            moved = settled + (x < TOP >> 8).astype(np.int64) + (x < TOP >> 16)
+            small = (size < BOTTOM) & ~settled
+            again = (moved == 3) | small
+            if small.any():
+                moved += small
+                size = np.where(small, -low & (BOTTOM - 1), size)
+            shift(n, low, moved)
+            moved <<= 3
+            self.low[:n], self.range[:n] = low << moved & MASK, size << moved
+            if not again.any():
                 return
-            size = np.where(small, -low & (BOTTOM - 1), size)[move]
-            at, low = at[move], low[move]
-            shift(at, low >> 24)
-            self.low[at] = low << 8 & MASK
-            self.range[at] = size << 8 & MASK
-
-    def chance(self, order: int, at: np.ndarray, a: np.ndarray, b: np.ndarray):
-        """Probability (of _BIT) that the prediction holds, mixed from the counters of contexts a and b."""
-        p, q = self.flags[at, order, 0, a], self.flags[at, order, 1, b]
-        w = self.weight[at, order]
-        return np.clip((p * w + q * (256 - w)) >> 8, 16, _BIT - 16), p, q
-
-    def learn(self, order: int, at: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, hit: np.ndarray) -> None:
-        goal = np.where(hit, _BIT - 1, 0)
-        nearer = np.sign(np.abs(goal - q) - np.abs(goal - p))  # 1 where the first counter was better
-        self.weight[at, order] = np.clip(self.weight[at, order] + 4 * nearer, 16, 240)
-        self.flags[at, order, 0, a] = p + ((goal - p) >> 4)
-        self.flags[at, order, 1, b] = q + ((goal - q) >> 4)
-        self.past[at] = (self.past[at] << 1 | hit) & 63
-
-    def count(self, which: int, at: np.ndarray, byte: np.ndarray) -> None:
-        self.fine[at, which, byte] += _GAIN
-        self.coarse[at, which, byte >> 4] += _GAIN
-        self.total[at, which] += _GAIN
-
-    def before(self, which: int, at: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """Summed frequency of the bytes below ``byte``."""
-        group = byte >> 4
-        lanes = np.arange(16)
-        c = (self.coarse[at, which] * (lanes < group[:, None])).sum(1)
-        f = self.fine.reshape(len(self.fine), 2, 16, 16)[at, which, group]
-        return c + (f * (lanes < (byte & 15)[:, None])).sum(1)
-
-
-def _code(n_lanes: np.ndarray, state: _State, bit, byte, known: np.ndarray | None) -> np.ndarray:
-    """Goes through all ids of the lanes (longest first); ``bit`` and ``byte`` encode what is ``known`` or decode it."""
-    longest = int(n_lanes[0]) if len(n_lanes) else 0
-    ids = np.zeros((len(n_lanes), longest), np.int32) if known is None else known
-    p1 = np.zeros(len(n_lanes), np.int64)
-    p2 = np.zeros(len(n_lanes), np.int64)
-    for t in range(longest):
-        n = int(np.searchsorted(-n_lanes, -t, "left"))
-        if n < len(p1):
-            state.shrink(n)
-            p1, p2 = p1[:n], p2[:n]
-        every = np.arange(n)
-        s2 = ((p1 * 40503 + p2 * 30011) * 2654435761 >> 11) % (BLOCK * 2)
-        s1 = (p1 * 2654435761 >> 9) % (BLOCK * 2)
-        e2, e1 = state.two[every, s2], state.one[every, s1]
-        value = np.full(n, -1, np.int64) if known is None else ids[:n, t].astype(np.int64)
-        open_ = np.ones(n, bool)
-        for order, (e, other) in enumerate(((e2, e1), (e1, e2))):
-            at = np.flatnonzero(open_ & (e > 0) & ((order == 0) | (e >> 3 != other >> 3)))
+
+
+def _code(sizes: np.ndarray, lanes: _Lanes, bit: Callable, byte: Callable, shift: Callable, known: np.ndarray | None) -> np.ndarray:
+    """All ids by time and lane (longest first); ``bit`` and ``byte`` encode what is ``known`` or decode it."""
+    longest = int(sizes[0]) if len(sizes) else 0
+    ids = np.zeros((longest, len(sizes)), np.int32) if known is None else known
+    active = np.searchsorted(-sizes, -np.arange(longest), "left")
+    full = 1 << _BIT
+    p1 = p2 = np.zeros(len(sizes), np.int64)
+    for t, n in enumerate(active.tolist()):
+        if t and (t % _RENEW == 0 or t in (16, 64, 192)):
+            lanes.renew(n)
+        p1, p2, mask, start = p1[:n], p2[:n], lanes.mask[:n], lanes.slot[:n]
+        slot = (((p1 * 40503 + p2 * 30011) * 2654435761 >> 11) & mask) + start, ((p1 * 2654435761 >> 9) & mask) + start
+        entry = lanes.guess[0].take(slot[0]), lanes.guess[1].take(slot[1])
+        guess = entry[0] >> 3, entry[1] >> 3
+        agree = guess[0] == guess[1]
+        value = None if known is None else ids[t, :n] + 1
+        found = np.zeros(n, np.int32)  # id + 1 where a prediction held
+        for order in (0, 1):
+            at = np.flatnonzero(guess[0] if order == 0 else (guess[1] > 0) & ~agree & (found == 0))
             if not len(at):
                 continue
-            guess = (e[at] >> 3) - 1
-            a = (e[at] & 7) * 2 + (other[at] >> 3 == e[at] >> 3)
-            b = state.past[at]
-            chance, p, q = state.chance(order, at, a, b)
-            hit = bit(state, at, chance, None if known is None else value[at] == guess)
-            state.learn(order, at, a, b, p, q, hit)
-            value[at[hit]] = guess[hit]
-            open_[at[hit]] = False
-        at = np.flatnonzero(open_)
-        if len(at):
-            parts = []
-            for which in (0, 1):
-                x = byte(state, which, at, None if known is None else (value[at] >> (8, 0)[which]) & 255)
-                state.count(which, at, x)
-                parts.append(x)
-            value[at] = parts[0] << 8 | parts[1]
-        for table, s, e in ((state.two, s2, e2), (state.one, s1, e1)):
-            same = (e >> 3) - 1 == value
-            table[every, s] = np.where(same, e + ((e & 7) < 7), (value + 1) << 3)
+            g = guess[order][at]
+            a = (at << 6) + ((entry[order][at] & 7) << 1 | agree[at])
+            past = lanes.past[at]
+            b = (at << 6) + past
+            one, two = lanes.flags[order]
+            p, q, w = one.take(a), two.take(b), lanes.weight[order].take(at)
+            chance = np.minimum(np.maximum((p * w + q * (256 - w)) >> 8, full >> 7), full - (full >> 7))
+            hit = bit(at, chance, None if value is None else value[at] == g)
+            goal = hit * np.int32(full - 1)
+            off_p, off_q = goal - p, goal - q
+            nearer = np.sign(np.abs(off_q) - np.abs(off_p))  # 1 where the first counter was better
+            lanes.weight[order][at] = np.minimum(np.maximum(w + 4 * nearer, 16), 240)
+            one[a] = p + (off_p >> 4)
+            two[b] = q + (off_q >> 4)
+            lanes.past[at] = (past << 1 | hit) & 63
+            found[at] = g * hit
+        missed = found == 0
+        plain = None if known is None else ids[t, :n]
+        high = byte(n, 0, missed, None if plain is None else plain >> 8)
+        low = byte(n, 1, missed, None if plain is None else plain & 255)
         if known is None:
-            ids[:n, t] = value
-        p1, p2 = value + 1, p1
+            plain = np.where(missed, high << 8 | low, found - 1)
+            ids[t, :n] = plain
+        lanes.renormalise(n, shift)
+        lanes.seen.append((plain, missed))
+        new = plain + np.int32(1)
+        for order in (0, 1):
+            e = entry[order]
+            lanes.guess[order][slot[order]] = np.where(guess[order] == new, e + ((e & 7) < 7), new << 3)
+        p1, p2 = new.astype(np.int64), p1
     return ids
 
 
@@ -146,40 +149,47 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
         size = np.array([len(blocks[i]) for i in some])
         if size.max(initial=0) > BLOCK:
             raise ValueError(f"a block has at most {BLOCK} ids")
-        known = np.zeros((len(some), int(size.max(initial=0))), np.int32)
+        known = np.zeros((int(size.max(initial=0)), len(some)), np.int32)
         for k, i in enumerate(some):
-            known[k, : size[k]] = blocks[i]
+            known[: size[k], k] = blocks[i]
         if known.min(initial=0) < 0 or known.max(initial=0) > 65535:
             raise ValueError("ids must be from 0 to 65535")
-        room = known.shape[1] * 5 + 16
-        buffer, used = np.zeros((len(some), room), np.uint8), np.zeros(len(some), np.int64)
-
-        def put(at: np.ndarray, byte: np.ndarray) -> None:
-            buffer[at, used[at]] = byte
-            used[at] += 1
-
-        def bit(state: _State, at: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> np.ndarray:
-            part = (state.range[at] >> 12) * chance
-            state.low[at] += np.where(hit, 0, part)
-            state.range[at] = np.where(hit, part, (state.range[at] >> 12 << 12) - part)
-            state.renormalise(at, put)
+        # An id takes up to 5 bytes, and cutting a range short one more.
+        room = size * 6 + 16
+        begin = np.cumsum(room) - room
+        buffer, used = np.zeros(int(room.sum()), np.uint8), begin.copy()
+        lanes = _Lanes(size)
+
+        def put(n: int, low: np.ndarray, moved: np.ndarray) -> None:
+            # Bytes that haven't moved are written as well, and overwritten by the next.
+            to = used[:n]
+            for k in range(3):
+                buffer[to + k] = low >> (48 - 8 * k) & 255
+            to += moved
+
+        def bit(at: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> np.ndarray:
+            size = lanes.range[at]
+            unit = size >> _BIT
+            part = unit * chance
+            lanes.low[at] += np.where(hit, 0, part)
+            lanes.range[at] = np.where(hit, part, (unit << _BIT) - part)
             return hit
 
-        def byte(state: _State, which: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-            unit = state.range[at] // state.total[at, which]
-            state.low[at] += unit * state.before(which, at, x)
-            state.range[at] = unit * state.fine[at, which, x]
-            state.renormalise(at, put)
+        def byte(n: int, which: int, missed: np.ndarray, x: np.ndarray) -> np.ndarray:
+            at = np.arange(n) * 514 + (which * 257) + x
+            flat = lanes.cum.reshape(-1)
+            below, above = np.where(missed, flat.take(at), 0), np.where(missed, flat.take(at + 1), 1 << _BYTE)
+            unit = lanes.range[:n] >> _BYTE
+            lanes.low[:n] += unit * below
+            lanes.range[:n] = unit * (above - below)
             return x
 
-        state = _State(len(some))
-        registers = state.low
-        _code(size, state, bit, byte, known)
-        for _ in range(4):
-            put(np.arange(len(some)), registers >> 24)
-            registers[:] = registers << 8 & MASK
+        _code(size, lanes, bit, byte, put, known)
+        for k in range(7):
+            buffer[used + k] = lanes.low >> (48 - 8 * k) & 255
         for k, i in enumerate(some):
-            out[i] = buffer[k, : used[k]].tobytes()
+            # Trailing zeros are what a decoder reads beyond the end.
+            out[i] = buffer[begin[k] : used[k] + 7].tobytes().rstrip(b"\0")
     return out
 
 
@@ -195,38 +205,40 @@ def decode(payloads: Sequence[bytes], sizes: Sequence[int]) -> list[np.ndarray]:
         for k, i in enumerate(some):
             buffer[k, : len(payloads[i])] = np.frombuffer(payloads[i], np.uint8)
         code, used = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-
-        def get(at: np.ndarray, _: np.ndarray) -> None:
-            code[at] = (code[at] << 8 | buffer[at, np.minimum(used[at], longest - 1)]) & MASK
-            used[at] += 1
-
-        for _ in range(4):
-            get(np.arange(len(some)), code)
-
-        def bit(state: _State, at: np.ndarray, chance: np.ndarray, _: None) -> np.ndarray:
-            part = (state.range[at] >> 12) * chance
-            hit = (code[at] - state.low[at] & MASK) < part
-            state.low[at] += np.where(hit, 0, part)
-            state.range[at] = np.where(hit, part, (state.range[at] >> 12 << 12) - part)
-            state.renormalise(at, get)
+        lanes = _Lanes(size)
+
+        def get(n: int, _: np.ndarray, moved: np.ndarray) -> None:
+            for k in range(int(moved.max(initial=0))):
+                at = np.flatnonzero(moved > k)
+                code[at] = (code[at] << 8 | buffer[at, np.minimum(used[at], longest - 1)]) & MASK
+                used[at] += 1
+
+        get(len(some), code, np.full(len(some), 7))
+
+        def bit(at: np.ndarray, chance: np.ndarray, _: None) -> np.ndarray:
+            unit = lanes.range[at] >> _BIT
+            part = unit * chance
+            hit = (code[at] - lanes.low[at] & MASK) < part
+            lanes.low[at] += np.where(hit, 0, part)
+            lanes.range[at] = np.where(hit, part, (unit << _BIT) - part)
             return hit
 
-        def byte(state: _State, which: int, at: np.ndarray, _: None) -> np.ndarray:
-            unit = state.range[at] // state.total[at, which]
-            target = np.minimum((code[at] - state.low[at] & MASK) // unit, state.total[at, which] - 1)
-            coarse = np.cumsum(state.coarse[at, which], 1)
-            group = (coarse <= target[:, None]).sum(1)
-            rest = target - (coarse[np.arange(len(at)), group] - state.coarse[at, which, group])
-            fine = np.cumsum(state.fine.reshape(len(state.fine), 2, 16, 16)[at, which, group], 1)
-            x = group * 16 + (fine <= rest[:, None]).sum(1)
-            state.low[at] += unit * state.before(which, at, x)
-            state.range[at] = unit * state.fine[at, which, x]
-            state.renormalise(at, get)
+        def byte(n: int, which: int, missed: np.ndarray, _: None) -> np.ndarray:
+            unit = lanes.range[:n] >> _BYTE
+            target = np.minimum((code[:n] - lanes.low[:n] & MASK) // np.maximum(unit, 1), (1 << _BYTE) - 1)
+            cum = lanes.cum[:n, which]
+            group = (cum[:, 16:256:16] <= target[:, None]).sum(1)
+            inside = np.take_along_axis(cum, group[:, None] * 16 + np.arange(1, 16), 1)
+            x = (group * 16 + (inside <= target[:, None]).sum(1)).astype(np.int32)
+            every = np.arange(n)
+            below, above = np.where(missed, cum[every, x], 0), np.where(missed, cum[every, x + 1], 1 << _BYTE)
+            lanes.low[:n] += unit * below
+            lanes.range[:n] = unit * (above - below)
             return x
 
-        ids = _code(size, _State(len(some)), bit, byte, None)
+        ids = _code(size, lanes, bit, byte, get, None)
         for k, i in enumerate(some):
-            out[i] = ids[k, : size[k]]
+            out[i] = ids[: size[k], k].copy()
     return out
 
 
@@ -239,15 +251,23 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[33:127] = True
+
+
 class Tokenizer:
-    """Ids of texts by a byte-level BPE with the usual word pattern, each distinct stretch between single spaces encoded once.
+    """Ids of texts by a byte-level BPE with the usual word pattern, each distinct stretch of text encoded once.
 
-    That pattern always begins a piece at a space between two other non-space characters, so stretches that
-    begin there are encoded independently. Only ASCII characters other than white space count here as such neighbours.
+    That pattern always begins a piece at a space between two other non-space characters, at a mark after a letter or digit,
+    and at what follows a single line break, so stretches that begin there are encoded independently. Only ASCII characters and those of two
+    bytes in UTF-8 count here as such neighbours. Stretches without white space but a space in front are encoded many at a time, with line breaks between.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 1_000_000):
         self.encoding, self.most = _encoding(path, pattern), most
+        self.newline = self.encoding.encode_ordinary("\n")
         self.forget()
 
     def forget(self) -> None:
@@ -256,14 +276,38 @@ class Tokenizer:
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
+    def _encode_all(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all, and how many each has."""
+        joined = [k for k, s in enumerate(stretches) if len(s) > 1 and s[1:].split() == [s[1:]] and (s[0] == " " or not s[0].isspace())]
+        if len(self.newline) != 1 or len(joined) < 2:
+            joined = []
+        size = np.zeros(len(stretches), np.int64)
+        flat = np.array(self.encoding.encode_ordinary("\n".join([stretches[k] for k in joined])) if joined else [], np.int64)
+        edge = np.flatnonzero(flat == self.newline[0]) if joined else np.zeros(0, np.int64)
+        size[joined] = np.diff(np.concatenate(([-1], edge, [len(flat)]))) - 1 if joined else 0
+        rest = sorted(set(range(len(stretches))) - set(joined))
+        single = [self.encoding.encode_ordinary(stretches[k]) for k in rest]
+        size[rest] = [len(x) for x in single]
+        begin = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint16)
+        out[T.ragged(begin[joined], size[joined])] = flat[flat != self.newline[0]] if joined else 0
+        out[T.ragged(begin[rest], size[rest])] = np.array([x for y in single for x in y], np.uint16)
+        return out, size
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (and the end)."""
         n = len(data)
         if not n:
             return np.zeros(0, np.uint16), np.zeros(len(off), np.int64)
-        plain = (data > 32) & (data < 127)
+        plain, word = _PLAIN[data], _WORD[data]
+        # No character of two bytes whose first is 0xC3 or more is white space.
+        two = (data >= 0xC3) & (data < 0xE0)
+        after, before = plain | two, plain.copy()
+        before[1:] |= two[:-1]
         cut = np.zeros(n + 1, bool)
-        cut[1 : n - 1] = (data[1:-1] == 32) & plain[:-2] & plain[2:]
+        cut[1 : n - 1] = (data[1:-1] == 32) & before[:-2] & after[2:]
+        cut[1:n] |= word[:-1] & plain[1:] & ~word[1:]
+        cut[2:n] |= before[:-2] & (data[1:-1] == 10) & after[2:]
         cut[off] = True
         edges = np.flatnonzero(cut)
         start, end = edges[:-1], edges[1:]
@@ -277,20 +321,24 @@ class Tokenizer:
             new = self.known[np.minimum(at, len(self.known) - 1)] != unique
         if new.any():
             raw = data.tobytes()
-            made = [self.encoding.encode_ordinary(raw[start[i] : end[i]].decode("utf-8", "replace")) for i in where[new]]
-            size = np.array([len(m) for m in made])
-            begin = len(self.ids) + np.concatenate(([0], np.cumsum(size)[:-1]))
-            self.ids = np.concatenate((self.ids, np.array([x for m in made for x in m], np.uint16)))
-            keys = np.concatenate((self.known, unique[new]))
-            o = np.argsort(keys, kind="stable")
-            self.known, self.start, self.size = keys[o], np.concatenate((self.start, begin))[o], np.concatenate((self.size, size))[o]
-            at = np.searchsorted(self.known, unique)
+            made, size = self._encode_all([raw[i:j].decode("utf-8", "replace") for i, j in zip(start[where[new]].tolist(), end[where[new]].tolist())])
+            begin = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate((self.ids, made))
+            to = at[new]
+            self.known, self.start, self.size = (np.insert(a, to, b) for a, b in ((self.known, unique[new]), (self.start, begin), (self.size, size)))
+            at = at + np.cumsum(new) - new
         slot = at[inverse]
         counts = self.size[slot]
         ends = np.concatenate(([0], np.cumsum(counts)))
         return self.ids[T.ragged(self.start[slot], counts)], ends[np.searchsorted(edges, off)]
 
 
+@lru_cache(2)
+def _shared(path: str, pattern: str) -> Tokenizer:
+    """One for all tasks of a Python worker; what it knows only saves time."""
+    return Tokenizer(path, pattern)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, block, n_tokens, checksum, payload): the token ids of every text in blocks of ``block``.
 
@@ -300,25 +348,24 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Tokenizer(tokenizer, pattern)
+        words, wait, waiting = _shared(tokenizer, pattern), [], 0
         for batch in batches:
-            valid = np.asarray(batch.column(1).is_valid())
-            wait: list = []
+            valid, names = np.asarray(batch.column(1).is_valid()), batch.column(0).to_pylist()
             for lo, hi, data, off in T.pieces(batch.column(1)):
                 ids, begin = words.encode(data, off)
-                for i in range(hi - lo):
-                    if valid[lo + i]:
-                        wait += [(lo + i, k, ids[begin[i] + k * block : min(begin[i] + (k + 1) * block, begin[i + 1])]) for k in range(max(1, -(-int(begin[i + 1] - begin[i]) // block)))]
-                if len(wait) >= 2 * LANES:
-                    yield flush(batch, wait)
-                    wait = []
-            if wait:
-                yield flush(batch, wait)
-
-    def flush(batch: pa.RecordBatch, wait: list) -> pa.RecordBatch:
+                for i in np.flatnonzero(valid[lo:hi]).tolist():
+                    wait += [(names[lo + i], k, ids[begin[i] + k * block : min(begin[i] + (k + 1) * block, begin[i + 1])]) for k in range(max(1, -(-int(begin[i + 1] - begin[i]) // block)))]
+                waiting += len(ids)
+                if waiting >= POOL:
+                    yield flush(wait)
+                    wait, waiting = [], 0
+        if wait:
+            yield flush(wait)
+
+    def flush(wait: list) -> pa.RecordBatch:
         made = encode([w[2] for w in wait])
         sums = [zlib.crc32(w[2].astype("<u2").tobytes()) for w in wait]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([w[0] for w in wait])), pa.array([w[1] for w in wait], pa.int32()), pa.array([len(w[2]) for w in wait], pa.int32()), pa.array(sums, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "block", "n_tokens", "checksum", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([w[0] for w in wait], pa.int64()), pa.array([w[1] for w in wait], pa.int32()), pa.array([len(w[2]) for w in wait], pa.int32()), pa.array(sums, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "block", "n_tokens", "checksum", "payload"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id bigint, block int, n_tokens int, checksum bigint, payload binary")
 
