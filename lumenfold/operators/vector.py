@@ -11,9 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from lumenfold.functions.vectors import angle
 
 #: Bounds of a cluster's size, as the index keeps them.
 TARGET, MOST, LEAST = 64, 128, 16
+#: Rows of a group that one worker cuts into clusters, and pivots that a larger group is split by.
+GROUP, FAN = 20_000, 64
+#: Centroids that rows are compared with at once.
+ASSIGNED = 50_000
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,32 +123,32 @@ class ClusterIndex:
     id_col: str
 
     @staticmethod
-    def build(df: DataFrame, id_col: str, vector_col: str, most: int = MOST, coarse: int | None = None, seed: int = 7) -> ClusterIndex:
-        """Groups of near vectors by ``coarse`` random pivots, each then cut to clusters of at most ``most`` by bisection inside its group."""
-        rows = df.where(f"size({vector_col}) > 0").select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        pivots = coarse or max(1, rows.count() // 20_000)
-        chosen = [r["v"] for r in rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivots).collect()]
-
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = np.array(chosen)
-            p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-            for batch in batches:
-                at, x = _matrix(batch.column(1), p.shape[1])
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * p.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), lists, pa.array(np.argmax(x @ p.T, 1))], ["id", "v", "pivot"])
+    def build(df: DataFrame, id_col: str, vector_col: str, most: int = MOST, group: int = GROUP, seed: int = 7) -> ClusterIndex:
+        """Clusters of at most ``most``: rows are split by near pivots, level by level, to groups of about ``group``, and each group by bisection in one worker.
 
+        A level draws up to FAN pivots from each group that is still too large, so nothing that grows with the table reaches the driver. Of rows with one id each is a member.
+        """
+        rows = df.where(f"size({vector_col}) > 0").select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         kind = rows.schema["id"].dataType.simpleString()
+        schema = f"id {kind}, v array<double>, pivot bigint"
+        grouped, largest = rows.select("id", _unit("v").alias("v"), F.lit(0).cast("bigint").alias("pivot")), None
+        while True:
+            sizes = grouped.groupBy("pivot").agg(F.count("*").alias("n"))
+            now = sizes.agg(F.max("n")).first()[0] or 0
+            if now <= group or now == largest:
+                break
+            first, largest = largest is None, now
+            drawn = Window.partitionBy("pivot").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+            pivots = grouped.join(sizes.where(F.col("n") > group), "pivot", "left_semi").withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= FAN).groupBy("pivot").agg(F.sort_array(F.collect_list("v")).alias("near"))
+            # The first level has FAN vectors; later ones have as many for each group and meet them by shuffle.
+            grouped = grouped.join(F.broadcast(pivots) if first else pivots, "pivot", "left").select("id", "v", "pivot", "near").mapInArrow(_nearest, schema)
 
         def cut(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("id", kind="stable").reset_index(drop=True)
-            labels = _clusters(np.stack(part["v"].to_list()), most, seed) if len(part) else []
-            return pd.DataFrame({"cluster": part["pivot"] * (1 << 32) + labels, "id": part["id"], "v": part["v"]})
+            labels = _clusters(np.stack(part["v"].to_list()), most, seed) if part["v"].map(len).nunique() == 1 else np.arange(len(part))
+            return pd.DataFrame({"cluster": part["pivot"] * (1 << 24) + labels, "id": part["id"], "v": part["v"]})
 
-        if not chosen:
-            members = df.sparkSession.createDataFrame([], f"cluster bigint, id {kind}, v array<double>")
-        else:
-            members = rows.mapInArrow(nearest, f"id {kind}, v array<double>, pivot bigint").groupBy("pivot").applyInPandas(cut, f"cluster bigint, id {kind}, v array<double>")
+        members = grouped.groupBy("pivot").applyInPandas(cut, f"cluster bigint, id {kind}, v array<double>")
         return ClusterIndex(members, centroids(members), id_col)
 
     def save(self, path: str) -> ClusterIndex:
@@ -153,8 +160,6 @@ class ClusterIndex:
     def probed(self, query: Sequence[float], n_probe: int, per_segment: bool = False) -> DataFrame:
         """(cluster): the ``n_probe`` clusters with the least bound max(0, angle - radius), which no member is nearer than; by plain angle with ``per_segment``."""
         q = F.array(*[F.lit(float(x)) for x in query])
-        from lumenfold.functions.vectors import angle
-
         bound = angle(F.col("centroid"), q) if per_segment else F.greatest(F.lit(0.0), angle(F.col("centroid"), q) - F.col("radius"))
         return self.centroids.withColumn("bound", bound).orderBy("bound", "cluster").limit(n_probe).select("cluster")
 
@@ -211,28 +216,58 @@ def centroids(members: DataFrame) -> DataFrame:
     """(cluster, centroid, radius, n): mean of the unit vectors and the largest angle to it."""
     mean = members.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m"))
     mean = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
-    from lumenfold.functions.vectors import angle
-
     return members.join(mean, "cluster").groupBy("cluster").agg(F.first("centroid").alias("centroid"), F.max(angle(F.col("v"), F.col("centroid"))).alias("radius"), F.count("*").alias("n"))
 
 
-def _assign(rows: DataFrame, target: DataFrame) -> DataFrame:
-    """(cluster, id, v): each row in the cluster of the nearest centroid; the centroids go to the workers batch by batch."""
-    near = target.select("cluster", "centroid").collect()
+def _unit(name: str) -> Column:
+    norm = F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(name, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v, pivot, near): a row moves to the nearest of the vectors in ``near``, if there are any."""
+    for batch in batches:
+        pivot, near, v = batch.column(2).to_pylist(), batch.column(3), batch.column(1)
+        known: dict[int, np.ndarray] = {}
+        for i, p in enumerate(pivot):
+            if p not in known and near[i].is_valid:
+                known[p] = np.array([x for x in near[i].as_py() if len(x) == len(v[i])])
+        out = np.array(pivot, np.int64)
+        for p, c in known.items():
+            if len(c):
+                at = np.flatnonzero(np.array(pivot) == p)
+                rows, x = _matrix(v.take(pa.array(at)), c.shape[1])
+                out[at[rows]] = p * FAN + 1 + np.argmax(x @ c.T, 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), v, pa.array(out)], ["id", "v", "pivot"])
+
+
+def _assign(rows: DataFrame, target: DataFrame, most: int = ASSIGNED) -> DataFrame:
+    """(cluster, id, v): each row in the cluster of the nearest centroid; ``most`` centroids at a time go to the workers, in one stage without a shuffle."""
     kind = rows.schema["id"].dataType.simpleString()
-    if not near:
+    parts = -(-target.count() // most)
+    if not parts:
         return rows.select(F.lit(0).cast("bigint").alias("cluster"), "id", "v")
+    schema = f"cluster bigint, id {kind}, v array<double>, best double"
+    out = rows.select(F.lit(0).cast("bigint").alias("cluster"), "id", _unit("v").alias("v"), F.lit(-9.0).alias("best"))
+    for k in range(parts):
+        near = target.where(F.pmod(F.xxhash64("cluster"), F.lit(parts)) == k).select("cluster", "centroid").orderBy("cluster").collect()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c = np.array([r["cluster"] for r in near]), np.array([r["centroid"] for r in near])
-        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        for batch in batches:
-            at, x = _matrix(batch.column(1), c.shape[1])
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * c.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(names[np.argmax(x @ c.T, 1)] if len(at) else names[:0]), batch.column(0).take(pa.array(at)), lists], ["cluster", "id", "v"])
-
-    return rows.mapInArrow(run, f"cluster bigint, id {kind}, v array<double>")
+        def run(batches: Iterator[pa.RecordBatch], near=near) -> Iterator[pa.RecordBatch]:
+            names, c = np.array([r["cluster"] for r in near], np.int64), np.array([r["centroid"] for r in near])
+            for batch in batches:
+                cluster, best = (batch.column(j).to_numpy(zero_copy_only=False).copy() for j in (0, 3))
+                if len(near):
+                    unit = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+                    at, x = _matrix(batch.column(2), unit.shape[1])
+                    s = x @ unit.T
+                    j = np.argmax(s, 1)
+                    found = s[np.arange(len(at)), j]
+                    better = found > best[at]
+                    cluster[at[better]], best[at[better]] = names[j[better]], found[better]
+                yield pa.RecordBatch.from_arrays([pa.array(cluster), batch.column(1), batch.column(2), pa.array(best)], ["cluster", "id", "v", "best"])
+
+        out = out.mapInArrow(run, schema)
+    return out.where("best > -9").select("cluster", "id", "v")
 
 
 def probe_budget(requested: int, clusters: int) -> int:

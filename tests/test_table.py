@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators.vector import ClusterIndex, exact_knn, probe_budget, with_cosine
+from lumenfold.operators.vector import ClusterIndex, _assign, exact_knn, probe_budget, with_cosine
 from lumenfold.sources.readers import bulk_actions, read_jsonl, read_vector_shards
 from lumenfold.sources.schema import field_of, infer_roles, native, typed
 from lumenfold.sources.table import Conflict, SnapshotTable
@@ -108,4 +108,15 @@ def test_cluster_index_recall_insert_delete(spark, tmp_path):
     assert fewer.members.count() == 999
     more = fewer.insert(spark.createDataFrame([(5000, points[0][1])], "id int, v array<double>"), "id", "v")
     assert more.knn(points[0][1], 1, 3).first()["id"] == 5000
+    # Small groups take several levels, and centroids go to the workers in several parts.
+    deep = ClusterIndex.build(df, "id", "v", most=20, group=60)
+    assert deep.members.count() == 1000 and deep.stats().first()["most"] <= 20
+    ids = [r["id"] for r in exact_knn(df, "id", "v", points[3][1], 5).collect()]
+    assert [r["id"] for r in deep.knn(points[3][1], 5, 10**6).collect()] == ids
+    rows = df.select("id", "v")
+    one, many = (sorted(map(tuple, _assign(rows, index.centroids, most).select("id", "cluster").collect())) for most in (10**6, 5))
+    assert one == many and len(one) == 1000
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(300)], "id int, v array<double>")
+    assert ClusterIndex.build(same, "id", "v", group=100).stats().first()["most"] <= 128
+    assert ClusterIndex.build(df.where("false"), "id", "v").members.count() == 0
     assert (probe_budget(10, 1000), probe_budget(100, 1000), probe_budget(1, 10**7)) == (50, 100, 20_000)
