@@ -123,6 +123,18 @@ def test_filters_hit_about_as_often_as_asked():
     assert set(zip(vec.tolist(), cell.tolist())) == set(map(tuple, np.argwhere(total >= small.height).tolist()))
 
 
+@pytest.mark.parametrize("dim", [2, 8, 16, 64])
+@pytest.mark.parametrize("count", [500, 50_000, 3_000_000])
+def test_isolated_pairs_meet_on_a_filter(dim, count):
+    """Also where the table is large or vectors are short; every vector has a filter."""
+    x, y = capfilter.simulated_pairs(dim, 0.9, 400, 77)
+    code = capfilter.ProductCode(dim, count, 32.0, 11)
+    of_x, of_y = ({*zip(*map(np.ndarray.tolist, code.listed(u, code.own)))} for u in (x, y))
+    assert {i for i, _ in of_x} == {i for i, _ in of_y} == set(range(400))
+    assert len({i for i, _ in of_x & of_y}) >= 0.95 * 400
+    assert len(of_x) <= 4 * 32 * 400
+
+
 def test_near_vectors_at_the_edges(spark):
     v = [0.3, 0.1, 0.5, 0.2]
     out = capfilter.near_duplicate_vectors(crowded(spark, [(5, v), (3, v), (3, v), (9, [x * 2 for x in v]), (4, [-x for x in v])] + ODD + [(-7, [0.0] * 4)])).collect()
