@@ -142,6 +142,38 @@ def test_learned_terms_need_contexts(spark):
     assert rejected(spark, toxic + clean, lexicon={"schlimmwort": 0.5}) == list(range(20))
 
 
+def test_terms_of_other_scripts_and_behind_typographic_marks(spark):
+    lexicon = {"éle": 1.0, "œuvreux": 1.0, "дурак": 1.0, "idiot": 1.0, "дегенератка": 1.0}
+    pairs = [
+        (1, "il est éle encore"),
+        (2, "un œuvreux ici"),
+        (3, "он дурак там"),
+        (4, "x —idiot— y"),
+        (5, "x idiot… y"),
+        (6, "idiot😡 y"),
+        (7, "the “idiot” stood there"),
+        (8, "you œuvrux there"),
+        (9, "you дурк there"),
+        (10, "дегенератка"),
+        (11, "nothing œ дом é"),
+        (12, "‘’ idiot’"),
+        (13, "aren’t ’"),
+    ]
+    assert rejected(spark, pairs, lexicon=lexicon) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 12]
+    lex = toxicity.Lexicon(lexicon, frozenset())
+    rng = random.Random(5)
+    for _ in range(2000):  # whatever matches is a candidate
+        w = list(rng.choice(list(lexicon)))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(1, len(w) + 1)
+            w[k : k + rng.randrange(2)] = rng.choice(["", *"eéœд😡"])
+        data = np.frombuffer("".join(w).encode(), np.uint8)
+        assert not lex.match("".join(w)) or len(lex.candidates(data, np.array([0]), np.array([len(data)]))) == 1, w
+    data = np.frombuffer("it’s ‘so’".encode(), np.uint8)
+    start, end, _ = text.runs(toxicity.inside(data, np.array([0, len(data)])), np.array([0, len(data)]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(start, end)] == ["it’s", "so"]
+
+
 def test_toxicity_on_labelled_documents(spark):
     d = "/root/testdata/sf0.01"
     caught = {r["doc_id"] for r in queries()["op6_toxicity"](spark, d).collect()}
