@@ -72,13 +72,17 @@ def _keys(batches: Iterator[pa.RecordBatch], curves: int, dims: int, bits: int,
 
 def top(queries: np.ndarray, qid: np.ndarray, found: np.ndarray, fid: np.ndarray, k: int, held: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """The k best (cosine, id) of each query among ``found`` and those ``held`` from before; never the query's own id; ties by id."""
-    sims = (queries.astype(np.float32) @ found.astype(np.float32).T).astype(np.float64)
-    sims[qid[:, None] == fid[None, :]] = -9
-    width = min(k + 6, len(fid))
-    at = np.argpartition(-sims, width - 1, 1)[:, :width] if width < len(fid) else np.tile(np.arange(len(fid)), (len(qid), 1))
-    s = np.einsum("ij,ikj->ik", queries, found[at])
-    s[np.take_along_axis(sims, at, 1) == -9] = -9
-    ids = fid[at]
+    s = queries @ found.T
+    s[qid[:, None] == fid[None, :]] = -9
+    if k < len(fid):
+        # All that don't round below the k-th, however many; by cosine and id the k best of each query stay.
+        least = -np.partition(-s, k - 1, 1)[:, k - 1] - 2e-9
+        q, j = np.nonzero(s >= least[:, None])
+        o = np.lexsort((fid[j], -np.round(s[q, j], 9), q))
+        o = o[np.arange(len(q)) - np.searchsorted(q, q) < k]
+        s, ids = s[q[o], j[o]].reshape(len(qid), k), fid[j[o]].reshape(len(qid), k)
+    else:
+        ids = np.tile(fid, (len(qid), 1))
     if held is not None:
         s, ids = np.concatenate((held[0], s), 1), np.concatenate((held[1], ids), 1)
     o = np.lexsort((ids, -np.round(s, 9)), axis=1)[:, :k]
@@ -141,20 +145,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield _rows(np.array([x for x, _ in own]), held)
 
 
+def with_copies(ranked: DataFrame, source: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours of all vectors, from those of one of each set of equal vectors; ``copies`` (id, rep) has the sets of several.
+
+    The k best of a vector lie in its own set and in the k best others by cosine and least id, and are the least ids of each.
+    """
+    order = F.desc(F.round("cosine", 9)), "neighbour"
+    first = copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select("rep", F.col("id").alias("copy"))
+    others = ranked.join(first.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "cosine")
+    own = first.select(F.col("rep").alias("id"), F.col("copy").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    lists = others.union(own).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("n") <= k + 1).select(F.col("id").alias("rep"), "neighbour", "cosine")
+    everyone = source.select("id").join(copies, "id", "left_anti").select("id", F.col("id").alias("rep")).union(copies.select("id", "rep"))
+    found = everyone.join(lists, "rep").where("id <> neighbour")
+    return found.select("id", "neighbour", "cosine", F.row_number().over(Window.partitionBy("id").orderBy(*order)).alias("rank")).where(F.col("rank") <= k)
+
+
 def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, recall: float = 0.95, curves: int = 4, dims: int = 8, bits: int = 7, block: int = 1024, sample: int = 256, seed: int = 5) -> DataFrame:
     """(vec_id, neighbour_id, rank, cosine): the k nearest of every vector, found with a mean recall of about ``recall``.
 
     Up to ``curves`` curves are laid. ``sample`` queries (those with the least id hashes) are answered by brute force, and the
     number of curves and of blocks to either side that is cheapest while the sample's neighbours are within reach at the
     rate ``recall`` is used for all queries. On data without structure that comes close to comparing all with all; it is never less.
-    Ties go to the lesser id. Vectors that are null, empty, zero or not finite (or hold a null) are no neighbours and have none; null ids are
+    Ties go to the lesser id; equal vectors are searched as one, so all of them are found. Vectors that are null, empty, zero or not finite (or hold a null) are no neighbours and have none; null ids are
     left out; of rows with the same id the least vector counts. Vectors of different lengths aren't compared. A vector has fewer than k rows only if
     there are too few others in reach. Other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     source = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    source = scratch.save(source.groupBy("id").agg(F.min("v").alias("v")), "source")
+    single = scratch.save(source.groupBy("id").agg(F.min("v").alias("v")), "single")
+    # Equal vectors are searched as one, that with the least id, and come back at the end.
+    source = scratch.save(single.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("c")), "source")
+    copies = scratch.save(single.join(source.where("c > 1").select("v", F.col("id").alias("rep")), "v").select("id", "rep"), "copies")
+    source = source.select("id", "v")
     keyed = source.mapInArrow(lambda it: _keys(it, curves, dims, bits, seed), "id bigint, curve int, dim int, key bigint")
     ranged = scratch.save(keyed.repartitionByRange("curve", "dim", "key", "id").sortWithinPartitions("curve", "dim", "key", "id").withColumn("p", F.spark_partition_id()), "ranged")
     # One row for each partition and curve; from these a vector's block on the curve.
@@ -196,4 +219,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     sent = sent.select(F.xxhash64("curve", "dim", "target").alias("g"), F.when(F.col("from") == F.col("target"), -1).otherwise(F.col("from")).alias("source"), "id", "v")
     lists = sent.repartition("g").sortWithinPartitions("g", "source").mapInArrow(lambda it: _blocks(it, k), "id bigint, neighbour bigint, cosine double")
     ranked = lists.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = ranked.select("id", "neighbour", "cosine", "rank")
+    if not copies.isEmpty():
+        ranked = with_copies(ranked, source, copies, k)
     return ranked.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 5).alias("cosine"))

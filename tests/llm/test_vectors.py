@@ -78,6 +78,30 @@ def test_neighbours_at_the_edges(spark):
     assert curves.nearest_neighbours(frame(spark, ODD)).count() == 0
 
 
+def test_best_keep_the_least_ids_of_many_ties():
+    x = np.tile([[0.6, 0.8]], (300, 1))
+    ids = np.random.default_rng(3).permutation(300)
+    s, found = curves.top(x, ids, x, ids, 10, None)
+    assert (found == [[i for i in range(11) if i != q][:10] for q in ids]).all() and np.allclose(s, 1)
+
+
+def test_equal_vectors_have_the_least_ids_of_their_set(spark):
+    """Sets larger than a block, with others as near in another length of the same direction."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, (_, v) in enumerate(clustered(400, 16, 6))]
+    same, twice = rows[5][1], [2 * x for x in rows[5][1]]
+    rows += [(1000 + i, same) for i in range(300)] + [(2000 + i, rows[9][1]) for i in range(3)] + [(-50 - i, twice) for i in range(4)]
+    out = curves.nearest_neighbours(frame(spark, [rows[i] for i in rng.permutation(len(rows))]), k=5, block=64, sample=100).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r["vec_id"], []).append(r["neighbour_id"])
+    assert set(got) == {i for i, _ in rows} and {len(v) for v in got.values()} == {5}
+    for i in [5, *range(1000, 1300), *range(-53, -49)]:
+        assert got[i] == [j for j in (-53, -52, -51, -50, 5, 1000) if j != i][:5]
+    for i in (9, 2000, 2001, 2002):
+        assert got[i][:3] == [j for j in (9, 2000, 2001, 2002) if j != i]
+
+
 # -- 2
 
 
