@@ -148,3 +148,15 @@ def test_scripts(spark):
     assert df.select(values["a"](df)).first()[0] == 7
     with pytest.raises(UnsupportedQuery):
         script_values({"source": "ctx._source.a += 1"})
+
+
+def test_dsl_refuses_clauses_it_would_drop():
+    text, phrase, glob = {"match": {"content": "fox"}}, {"match_phrase": {"content": "red fox"}}, {"wildcard": {"content": "f*"}}
+    near = {"knn": {"v": {"vector": [1.0]}}}
+    for pair in ([text, phrase], [phrase, text], [phrase, phrase], [glob, glob], [text, glob], [phrase, glob], [near, near]):
+        with pytest.raises(UnsupportedQuery):
+            request_of({"query": {"bool": {"must": pair}}})
+    with pytest.raises(UnsupportedQuery):
+        request_of({"query": near, "knn": {"field": "v", "vector": [1.0]}})
+    both = request_of({"query": {"bool": {"must": [text, near]}}})
+    assert both.query_text == "fox" and both.knn["field"] == "v"
