@@ -36,12 +36,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str, driver_edges: int
         return scratch.save(scratch.spark.createDataFrame(pd.DataFrame({"node": nodes, "root": roots}), "node bigint, root bigint"), f"{name}-cc")
     k = 0
     while True:  # alternating large and small stars; ends when no edge changes
-        both = edges.union(edges.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("n"))
-        least = F.least(F.array_min("n"), F.col("a"))
-        large = both.select(F.explode("n").alias("b"), least.alias("m"), "a").where("b > a").select(F.col("m").alias("a"), "b")
-        down = large.groupBy("b").agg(F.collect_set("a").alias("n"))
-        low = down.select("b", "n", F.array_min("n").alias("m"))
-        small = low.select(F.col("m").alias("a"), "b").union(low.select(F.col("m").alias("a"), F.explode("n").alias("b")).where("a <> b")).distinct()
+        # Least neighbours are aggregated and joined back, so a node's neighbours are never in one row.
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = low.select(F.col("m").alias("a"), "b").union(large.join(low, "b").where("a <> m").select("m", "a")).distinct()
         k += 1
         new = scratch.save(small, f"{name}-e{k}")
         same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
@@ -66,6 +66,17 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
+def different_buckets(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, doc_id), distinct, of one of each set of buckets that have the same documents.
+
+    Sets are compared by their number, least, greatest and two sums of hashes, so none is collected.
+    """
+    h = F.xxhash64("doc_id")
+    of = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.sum(F.shiftrightunsigned(h, 32)).alias("t"))
+    one = of.groupBy("n", "low", "high", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(one, "bucket", "left_semi").select("bucket", "doc_id")
+
+
 def group_by_buckets(members: DataFrame, alike: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], values: DataFrame, scratch: Scratch, known: DataFrame, star_rounds: int = 3) -> DataFrame:
     """(doc_id, kept_id, group_size) of the components that alike pairs out of common buckets make, with the ``known`` edges.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .components import group_by_buckets, only
+from .components import different_buckets, group_by_buckets, only
 from .scratch import Scratch
 
 U = np.uint64
@@ -24,17 +24,16 @@ EMPTY = U(0xFFFFFFFFFFFFFFFF)
 STEP = U(0xD1342543DE82EF95)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the word n-grams (of all words where there are fewer), the index of each document's first, and hashes of the word sequences."""
-    start, end, first = T.words(data, offsets)
-    codes = T.Prefix(T.CODES_LOWER[data]).of(start, end)
-    prefix = T.Prefix(codes)
+def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Hashes of the word n-grams (of all words where there are fewer), the index of each document's first, and what ``digests`` takes."""
+    low = T.LOWER[data]
+    start, end, first = T.words(low, offsets)
+    prefix = T.Sequence(T.word_hashes(low, start, end))
     count = np.diff(first)
-    whole = prefix.of(first[:-1], first[1:])
     grams = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
     at = T.ragged(first[:-1], grams)
     stop = np.minimum(at + n, np.repeat(first[1:], grams))
-    return prefix.of(at, stop), np.concatenate(([0], np.cumsum(grams))), whole
+    return prefix.of(at, stop), np.concatenate(([0], np.cumsum(grams))), (low, start, end, first)
 
 
 def sketch(values: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -58,7 +57,8 @@ def _bands(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, data, off in T.pieces(batch.column(1)):
-            values, first, whole = shingles(data, off, n)
+            values, first, words = shingles(data, off, n)
+            whole = T.digests(*words)
             s = sketch(values, first, bands * rows).reshape(-1, bands, rows)
             h = np.full(s.shape[:2], U(0)) + np.arange(bands, dtype=U) * STEP
             for r in range(rows):
@@ -66,7 +66,7 @@ def _bands(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
             some = np.flatnonzero(np.diff(first) > 0)
             flat = pa.array(h[some].ravel().view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([ids[lo:hi].take(pa.array(some)), pa.array(whole[some].view(np.int64)), lists], ["doc_id", "whole", "bands"])
+            yield pa.RecordBatch.from_arrays([ids[lo:hi].take(pa.array(some)), pa.array([whole[i] for i in some.tolist()], pa.binary()), lists], ["doc_id", "whole", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -94,21 +94,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out; rows with the same id are one document, which joins whatever any of its texts joins. Equal texts
     are always found. Other columns are ignored.
 
-    Equal word sequences are joined first by hash. In every bucket documents are then compared with one
+    Equal word sequences are joined first, by a 128-bit BLAKE2b digest. In every bucket documents are then compared with one
     lead, in ``star_rounds`` rounds with other leads while a bucket holds several components, and what is
     still apart after that is compared pair by pair, so no partner is dropped however large a bucket is.
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    sketches = scratch.save(source.mapInArrow(lambda it: _bands(it, n, bands, rows), "doc_id bigint, whole bigint, bands array<bigint>"), "sketches")
+    sketches = scratch.save(source.mapInArrow(lambda it: _bands(it, n, bands, rows), "doc_id bigint, whole binary, bands array<bigint>"), "sketches")
     copies = sketches.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    exact = sketches.select("doc_id", "whole").join(copies.where("c > 1").select("whole", "rep"), "whole").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    exact = sketches.select("doc_id", "whole").join(copies.where("c > 1").select("whole", "rep"), "whole").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "whole").where("a <> b")
     exact = scratch.save(exact, "exact")
-    # One of each set of copies goes on.
-    reps = sketches.join(exact.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
-    buckets = reps.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("doc_id").alias("ids")).where("size(ids) > 1")
-    buckets = scratch.save(buckets.select(F.array_sort("ids").alias("ids")).distinct().select(F.xxhash64("ids").alias("bucket"), "ids"), "buckets")
-    members = scratch.save(buckets.select("bucket", F.explode("ids").alias("doc_id")), "members")
+    # One of each set of copies goes on; another text of the same id is no copy.
+    reps = sketches.join(exact.select(F.col("b").alias("doc_id"), "whole"), ["doc_id", "whole"], "left_anti").select("doc_id", F.explode("bands").alias("bucket"))
+    several = scratch.save(reps.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket"), "several")
+    shared = scratch.save(only(reps, "bucket", several, several.count()).distinct(), "shared")
+    members = scratch.save(different_buckets(shared), "members")
     involved = scratch.save(members.select("doc_id").distinct(), "involved")
     sets = scratch.save(only(source, "doc_id", involved, involved.count()).mapInArrow(lambda it: _sets(it, n), "doc_id bigint, grams array<bigint>"), "sets")
     common = F.size(F.array_intersect("x", "y"))
@@ -119,8 +119,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = p.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
         return p.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    found = group_by_buckets(members, alike, sets, scratch, exact, star_rounds)
-    scratch.drop("sketches", "exact", "buckets", "members", "involved", "sets")
+    found = group_by_buckets(members, alike, sets, scratch, exact.select("a", "b"), star_rounds)
+    scratch.drop("sketches", "exact", "several", "shared", "members", "involved", "sets")
     return found
 
 

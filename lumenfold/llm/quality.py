@@ -48,7 +48,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     whose = np.repeat(np.arange(n), count)
     length = end - start
     each = np.maximum(count, 1)
-    hashes = T.Prefix(T.CODES_LOWER[data]).of(start, end)
+    hashes = T.word_hashes(T.LOWER[data], start, end)
     order = np.lexsort((hashes, whose))
     h, w = hashes[order], whose[order]
     new = np.ones(len(h), bool)

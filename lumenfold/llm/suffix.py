@@ -43,11 +43,11 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
 def slices(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """(row, first window, windows, anchor hash, content hash) of each slice, and the words' hashes with each row's first."""
     start, end, first = T.words(data, offsets)
-    codes = T.Prefix(T.CODES[data]).of(start, end)
+    codes = T.word_hashes(data, start, end)
     none = np.zeros(0, np.int64)
     if len(codes) < length:
         return none, none, none, none.view(U), none.view(U), codes, first
-    prefix = T.Prefix(codes)
+    prefix = T.Sequence(codes)
     grams = prefix.of(np.arange(len(codes) - gram + 1), np.arange(gram, len(codes) + 1))
     anchor = sliding_argmin(grams, length - gram + 1)
     row = np.searchsorted(first, np.arange(len(anchor)), "right") - 1

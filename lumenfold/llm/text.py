@@ -1,12 +1,13 @@
 """Vectorised words and rolling hashes over Arrow text columns.
 
 A word is a maximal run of bytes above 0x20 in UTF-8, so ASCII white space and control characters
-separate words. Hashes are 64-bit sums of random byte codes times powers of an odd base modulo 2**64,
-which makes the hash of any byte or word range one subtraction and one multiplication.
+separate words. ``Sequence`` hashes ranges of words as polynomials modulo the prime 2**61 - 1, which makes the hash of any range one
+subtraction and one multiplication. ``Prefix`` does that modulo 2**64 for bytes, where a collision only costs time or is checked.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CODES_LOWER = CODES[LOWER]
+#: Bytes of a word from which on it is hashed by itself.
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 #: Text bytes that are looked at together; a longer text is taken alone.
 CHUNK = 1 << 20
 
@@ -49,6 +52,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def loaded(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` bytes (8 at most) of ``data`` from each of ``at`` as an integer, the first byte lowest."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
+    return words & _MASKS[n]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, mixed eight bytes at a time; those of more than LONG bytes are cut from BLAKE2b.
+
+    Unlike a polynomial modulo 2**64 this has no sequences that collide whatever the base.
+    """
+    length = end - start
+    h = mix(loaded(data, start, np.minimum(length, 8)) + length.astype(U) * U(BASE))
+    rest = np.flatnonzero((length > 8) & (length <= LONG))
+    k = 8
+    while len(rest):
+        h[rest] = mix((h[rest] ^ loaded(data, start[rest] + k, np.minimum(length[rest] - k, 8))) + U(BASE))
+        k += 8
+        rest = rest[length[rest] > k]
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Prefix:
     """Hashes of ranges of a sequence of codes."""
 
@@ -61,6 +89,59 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+PRIME = (1 << 61) - 1
+_P, _LOW, _MID = U(PRIME), U((1 << 32) - 1), U((1 << 29) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of numbers below PRIME, modulo it."""
+    al, ah, bl, bh = a & _LOW, a >> U(32), b & _LOW, b >> U(32)
+    low, mid = al * bl, al * bh + ah * bl
+    return _reduced((low & _P) + (low >> U(61)) + (mid >> U(29)) + ((mid & _MID) << U(32)) + (ah * bh << U(3)))
+
+
+_prime_powers = [np.ones(1, U), np.ones(1, U)]
+_FACTORS = 0x1B873593CC9E2D51 % PRIME, pow(0x1B873593CC9E2D51 % PRIME, -1, PRIME)
+
+
+def prime_powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo PRIME, for exponents below n at least."""
+    while len(_prime_powers[0]) < n:
+        size = len(_prime_powers[0])
+        for k, f in enumerate(_FACTORS):
+            _prime_powers[k] = np.concatenate((_prime_powers[k], times(_prime_powers[k], np.full(1, pow(f, size, PRIME), U))))
+    return _prime_powers
+
+
+class Sequence:
+    """Hashes of ranges of a sequence of 64-bit codes."""
+
+    def __init__(self, codes: np.ndarray):
+        power, self.inverse = prime_powers(len(codes) + 1)
+        term = times(_reduced(codes), power[: len(codes)])
+        # Halves are summed apart, so that no sum overflows.
+        low, high = np.cumsum(term & _LOW), np.cumsum(term >> U(32))
+        self.sums = np.concatenate((np.zeros(1, U), _reduced(low + (high >> U(29)) + ((high & _MID) << U(32)))))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(times(_reduced(self.sums[end] + (_P - self.sums[start])), self.inverse[start]))
+
+
+def digests(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """BLAKE2b of each row's words with a space between; ``first`` has each row's first word and the end."""
+    length = end - start
+    kept = np.full(int(length.sum()) + len(start), 32, np.uint8)
+    kept[np.arange(int(length.sum())) + np.repeat(np.arange(len(start)), length)] = low[ragged(start, length)]
+    edge = np.concatenate(([0], np.cumsum(length + 1)))[first]
+    raw = memoryview(kept.tobytes())
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+
 def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of at most ``limit`` bytes, or of one longer row; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,9 +1,11 @@
 """Token ids as checksummed blocks of an adaptive context-mixing range coder.
 
-Order-2 and order-1 contexts each predict one id. Whether a prediction holds is coded with a probability
-mixed from two adaptive counters; an id that neither predicts is coded as two bytes by order-0
-frequencies, renewed from the block's ids so far. All arithmetic is in integers. Every block starts from the same state and can be
-decoded alone. Many blocks are coded in step, one lane of NumPy arrays each.
+Every id is first predicted by the ids that followed the last two ids and the last one before in the block. Whether
+a prediction holds is a flag, whose chance is mixed from two counters by their errors so far. An id that neither predicts is coded
+by the order-0 frequencies of the block's ids, or as new by a fixed prior. The flags and the id are one interval of a
+range coder. Frequencies are renewed after short periods, so that all ids of a period are modelled at
+once; all arithmetic is in integers. Every block starts from the same state and can be decoded alone. Blocks are filled
+across documents and coded in step, one lane of NumPy arrays each.
 """
 
 from __future__ import annotations
@@ -20,234 +22,380 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-#: Registers have 56 bits, so that they are renewed once for each id.
-TOP, BOTTOM, MASK = 1 << 48, 1 << 40, (1 << 56) - 1
-#: Ids of a block at most.
+U = np.uint64
+#: Ids of a block at most, and pieces of documents.
 BLOCK = 4096
-#: Blocks coded in step.
-LANES = 2048
+#: Ids coded, and blocks decoded, in step at most.
+IDS, LANES = 1 << 21, 256
+#: Ids between two renewals of the frequencies, when a block is under way.
+PERIOD = 64
+#: Bits of a flag's chance and of the order-0 frequencies; an interval has those of two flags and one frequency.
+FLAG, ORDER0 = 12, 14
+TOTAL = 2 * FLAG + ORDER0
 #: Ids that wait to be coded together, so that blocks of like length go in step.
-POOL = 8_000_000
-_BIT = 12
-_BYTE = 13
-_GAIN = 16
-_RENEW = 512
-
-
-class _Lanes:
-    """Models of blocks of the given sizes; encoder and decoder go through the same steps."""
-
-    def __init__(self, sizes: np.ndarray):
-        n = len(sizes)
-        self.low = np.zeros(n, np.int64)
-        self.range = np.full(n, MASK, np.int64)
-        # A block has as many slots of either order as ids, rounded up to a power of two.
-        slots = 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64)
-        self.mask, self.slot = slots - 1, np.cumsum(slots) - slots
-        self.guess = np.zeros((2, int(slots.sum())), np.int32)  # by order: (id + 1) * 8 + hits in a row
-        self.flags = np.full((2, 2, n * 64), 1 << (_BIT - 1), np.int32)  # by order and counter
-        self.weight = np.full((2, n), 128, np.int32)
-        self.past = np.zeros(n, np.int64)  # the last six flags
-        self.counts = np.ones((n, 2, 256), np.int32)
-        self.cum = np.zeros((n, 2, 257), np.int16)
-        self.cum[:] = np.arange(257) << (_BYTE - 8)
-        self.seen: list[tuple[np.ndarray, np.ndarray]] = []  # ids since the frequencies were renewed, and which of them were coded as bytes
+POOL = 4_000_000
+#: Bits of the prior of new ids.
+NEW = 22
+_SLOTS = 13, 12
+_RUNS, _PAST = 16, 64
+
+
+@lru_cache(1)
+def _prior() -> np.ndarray:
+    """Cumulative frequencies of ids by themselves: ids of a merge vocabulary are the rarer the larger they are."""
+    weight = 2**30 // (np.arange(65536) + 200)
+    total = np.concatenate(([0], np.cumsum(weight)))
+    return total * ((1 << NEW) - 65536) // total[-1] + np.arange(65537)
+
+
+def _periods(longest: int) -> list[tuple[int, int]]:
+    edges = [e for e in (0, 8, 16, 32) if e < longest] + list(range(PERIOD, longest, PERIOD)) + [longest]
+    return list(zip(edges, edges[1:]))
+
+
+def _slots(p1, p2) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the order-2 and the order-1 context, given the last id and the one before (each plus 1)."""
+    return ((p1 * 40503 + p2 * 30011) * 2654435761 >> 11) & ((1 << _SLOTS[0]) - 1), (p1 * 2654435761 >> 9) & ((1 << _SLOTS[1]) - 1)
+
+
+class _Model:
+    """What encoder and decoder know of the ids so far, for some blocks at a time."""
+
+    def __init__(self, n: int, longest: int):
+        self.counts = np.zeros((n, longest + 1), np.int32)
+        self.distinct = np.zeros(n, np.int64)
+        self.escapes = np.ones(n, np.int64)
+        self.hits = [[np.ones((n, k), np.int32) for k in (_RUNS, _PAST)] for _ in range(2)]
+        self.seen = [[np.full((n, k), 4, np.int32) for k in (_RUNS, _PAST)] for _ in range(2)]
+        self.errors = np.full((2, 2, n), 4096, np.int64)
 
     def renew(self, n: int) -> None:
-        """Frequencies from all ids that were coded as bytes; each byte keeps one of 2**_BYTE at least."""
-        flat = self.counts.reshape(-1)
-        for value, missed in self.seen:
-            at = np.flatnonzero(missed[:n])
-            v = value[at]
-            for part in (at * 512 + (v >> 8), at * 512 + 256 + (v & 255)):
-                flat[part] += _GAIN  # one id of a lane at a time
-        self.seen = []
-        c = self.counts[:n]
-        f = c * ((1 << _BYTE) - 256) // c.sum(2, keepdims=True, dtype=np.int32) + 1
-        np.cumsum(f, 2, out=self.cum[:n, :, 1:])
-        self.cum[:n, :, 256] = 1 << _BYTE
-
-    def renormalise(self, n: int, shift: Callable) -> None:
-        """Moves up to three settled bytes of all lanes at once, and again where there are more."""
-        while True:
-            low, size = self.low[:n], self.range[:n]
-            x = low ^ (low + size)
-            settled = x < TOP
-            moved = settled + (x < TOP >> 8).astype(np.int64) + (x < TOP >> 16)
-            small = (size < BOTTOM) & ~settled
-            again = (moved == 3) | small
-            if small.any():
-                moved += small
-                size = np.where(small, -low & (BOTTOM - 1), size)
-            shift(n, low, moved)
-            moved <<= 3
-            self.low[:n], self.range[:n] = low << moved & MASK, size << moved
-            if not again.any():
-                return
-
-
-def _code(sizes: np.ndarray, lanes: _Lanes, bit: Callable, byte: Callable, shift: Callable, known: np.ndarray | None) -> np.ndarray:
-    """All ids by time and lane (longest first); ``bit`` and ``byte`` encode what is ``known`` or decode it."""
-    longest = int(sizes[0]) if len(sizes) else 0
-    ids = np.zeros((longest, len(sizes)), np.int32) if known is None else known
-    active = np.searchsorted(-sizes, -np.arange(longest), "left")
-    full = 1 << _BIT
-    p1 = p2 = np.zeros(len(sizes), np.int64)
-    for t, n in enumerate(active.tolist()):
-        if t and (t % _RENEW == 0 or t in (16, 64, 192)):
-            lanes.renew(n)
-        p1, p2, mask, start = p1[:n], p2[:n], lanes.mask[:n], lanes.slot[:n]
-        slot = (((p1 * 40503 + p2 * 30011) * 2654435761 >> 11) & mask) + start, ((p1 * 2654435761 >> 9) & mask) + start
-        entry = lanes.guess[0].take(slot[0]), lanes.guess[1].take(slot[1])
-        guess = entry[0] >> 3, entry[1] >> 3
-        agree = guess[0] == guess[1]
-        value = None if known is None else ids[t, :n] + 1
-        found = np.zeros(n, np.int32)  # id + 1 where a prediction held
-        for order in (0, 1):
-            at = np.flatnonzero(guess[0] if order == 0 else (guess[1] > 0) & ~agree & (found == 0))
-            if not len(at):
-                continue
-            g = guess[order][at]
-            a = (at << 6) + ((entry[order][at] & 7) << 1 | agree[at])
-            past = lanes.past[at]
-            b = (at << 6) + past
-            one, two = lanes.flags[order]
-            p, q, w = one.take(a), two.take(b), lanes.weight[order].take(at)
-            chance = np.minimum(np.maximum((p * w + q * (256 - w)) >> 8, full >> 7), full - (full >> 7))
-            hit = bit(at, chance, None if value is None else value[at] == g)
-            goal = hit * np.int32(full - 1)
-            off_p, off_q = goal - p, goal - q
-            nearer = np.sign(np.abs(off_q) - np.abs(off_p))  # 1 where the first counter was better
-            lanes.weight[order][at] = np.minimum(np.maximum(w + 4 * nearer, 16), 240)
-            one[a] = p + (off_p >> 4)
-            two[b] = q + (off_q >> 4)
-            lanes.past[at] = (past << 1 | hit) & 63
-            found[at] = g * hit
-        missed = found == 0
-        plain = None if known is None else ids[t, :n]
-        high = byte(n, 0, missed, None if plain is None else plain >> 8)
-        low = byte(n, 1, missed, None if plain is None else plain & 255)
-        if known is None:
-            plain = np.where(missed, high << 8 | low, found - 1)
-            ids[t, :n] = plain
-        lanes.renormalise(n, shift)
-        lanes.seen.append((plain, missed))
-        new = plain + np.int32(1)
+        """New frequencies and chances for the first ``n`` blocks."""
+        width = int(self.distinct[:n].max(initial=0))
+        self.cum = np.zeros((n, width + 1), np.int32)
+        np.cumsum(self.counts[:n, :width], 1, out=self.cum[:, 1:])
+        self.total = self.cum[:, -1:] + self.escapes[:n, None]
+        self.scale = (1 << ORDER0) - self.distinct[:n, None] - 1
+        self.chance = [[(h[:n] << FLAG) // s[:n] for h, s in zip(*both)] for both in zip(self.hits, self.seen)]
+        e = self.errors[:, :, :n]
+        self.weight = np.clip((e[:, 1] << 8) // (e[:, 0] + e[:, 1]), 16, 240)
+
+    def chances(self, order: int, lane: np.ndarray, run: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The mixed chance that a prediction holds, and the two that it is mixed from."""
+        one, two = self.chance[order]
+        p, q = one.ravel().take(lane * _RUNS + run), two.ravel().take(lane * _PAST + past)
+        w = self.weight[order].take(lane)
+        return np.clip((p * w + q * (256 - w)) >> 8, 32, (1 << FLAG) - 32), p, q
+
+    def place(self, lane: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Where the frequency of the id with this number in the block begins."""
+        c = self.cum.ravel().take(lane * self.cum.shape[1] + index).astype(np.int64)
+        return c * self.scale[:, 0].take(lane) // self.total[:, 0].take(lane) + index
+
+    def learn(self, lane: np.ndarray, index: np.ndarray, coded: np.ndarray, escaped: np.ndarray, flags: list) -> None:
+        """Takes in a period: the number in the block of each id, whether it was coded by its frequency, whether as new, and of either order (lane, run, past, chances, hit) of the flags."""
+        np.add.at(self.counts.reshape(-1), (lane * self.counts.shape[1] + index), np.where(coded, np.int32(2), np.int32(1)))
+        np.maximum.at(self.distinct, lane, index + 1)
+        self.escapes += np.bincount(lane[escaped], minlength=len(self.escapes))
+        for order, (at, run, past, p, q, hit) in enumerate(flags):
+            for k, (c, size) in enumerate(((run, _RUNS), (past, _PAST))):
+                np.add.at(self.seen[order][k].reshape(-1), at * size + c, np.int32(1))
+                np.add.at(self.hits[order][k].reshape(-1), (at * size + c)[hit], np.int32(1))
+            goal = hit.astype(np.int64) << FLAG
+            for k, x in enumerate((p, q)):
+                self.errors[order, k] += np.bincount(at, np.abs(goal - x), len(self.escapes)).astype(np.int64)
+
+
+def _guesses(ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the id + 1 that came last in the same group (0 if none did), and how many guesses there were right in a row (7 at most)."""
+    n = len(ids)
+    s = np.sort(group.astype(U) << U(22) | np.arange(n, dtype=U))
+    at = (s & U((1 << 22) - 1)).astype(np.int64)
+    s >>= U(22)
+    x = ids[at]
+    last = np.zeros(n, np.int32)
+    last[1:] = np.where(s[1:] == s[:-1], x[:-1] + 1, 0)
+    place = np.arange(n, dtype=np.int32)
+    wrong = np.maximum.accumulate(np.where(last == x + 1, np.int32(0), place))
+    run = np.zeros(n, np.int32)
+    run[1:] = np.minimum(place[:-1] - wrong[:-1], 7)
+    guess, runs = np.empty(n, np.int32), np.empty(n, np.int32)
+    guess[at], runs[at] = last, run
+    return guess, runs
+
+
+def _numbers(ids: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+    """For each id its number in the order in which ids first occur in the block."""
+    n = len(ids)
+    s = np.sort((block * 65536 + ids).astype(U) << U(22) | np.arange(n, dtype=U))
+    at = (s & U((1 << 22) - 1)).astype(np.int64)
+    s >>= U(22)
+    first = np.concatenate(([True], s[1:] != s[:-1]))
+    # First places, by block and place.
+    opens = np.sort(s[first] >> U(16) << U(22) | at[first].astype(U))
+    owner = (opens >> U(22)).astype(np.int64)
+    place = np.empty(n, np.int64)
+    place[(opens & U((1 << 22) - 1)).astype(np.int64)] = np.arange(len(opens)) - np.searchsorted(owner, np.arange(blocks))[owner]
+    out = np.empty(n, np.int64)
+    out[at] = place[at[first]][np.cumsum(first) - 1]
+    return out
+
+
+def _intervals(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Block and place of every id, period by period, begin and width of its interval, and whether one of the prior follows. Blocks one after another, longest first, none empty."""
+    begin = np.cumsum(size) - size
+    spans = [(s, e, int(np.searchsorted(-size, -s, "left"))) for s, e in _periods(int(size[0]))]
+    lengths = [np.minimum(size[:n], e) - s for s, e, n in spans]
+    # From here on ids are in order of period, block and place, in which those of a block keep their order.
+    order = np.concatenate([T.ragged(begin[:n] + s, x) for (s, _, n), x in zip(spans, lengths)])
+    lanes = np.concatenate([np.repeat(np.arange(n), x) for (_, _, n), x in zip(spans, lengths)])
+    at = order - begin[lanes]
+    padded = np.concatenate((np.zeros(2, np.int64), ids + 1))
+    p1, p2 = np.where(at > 0, padded[order + 1], 0), np.where(at > 1, padded[order], 0)
+    ids = padded[order + 2].astype(np.int32)  # plus 1
+    slots = _slots(p1, p2)
+    del p1, p2, padded
+    (g2, r2), (g1, r1) = (_guesses(ids - 1, (lanes << bits) + s) for s, bits in zip(slots, _SLOTS))
+    del slots
+    number = _numbers(ids - 1, lanes, len(size))
+    agree = g1 == g2
+    right = g2 == ids
+    has = [g2 > 0, (g1 > 0) & ~agree & ~right]
+    hit = [has[0] & right, has[1] & (g1 == ids)]
+    run = [r2 * 2 + agree, r1 * 2 + has[0]]
+    outcome = np.zeros(len(ids) + 3, np.int8)
+    outcome[order + 3] = hit[0] * np.int8(2) + hit[1]
+    past = sum(np.where(at >= k, outcome[order + (3 - k)], 0).astype(np.int64) << 2 * (k - 1) for k in (1, 2, 3))
+    del g1, g2, r1, r2, agree, right, outcome, order
+    low, wide, escaped = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.empty(len(ids), bool)
+    model, x = _Model(len(size), int(size[0])), 0
+    for (_, _, n), length in zip(spans, lengths):
+        model.renew(n)
+        i = slice(x, x := x + int(length.sum()))
+        lane = lanes[i]
+        base, width, flags = None, None, []
+        missed = np.ones(len(lane), bool)
         for order in (0, 1):
-            e = entry[order]
-            lanes.guess[order][slot[order]] = np.where(guess[order] == new, e + ((e & 7) < 7), new << 3)
-        p1, p2 = new.astype(np.int64), p1
-    return ids
+            asked = np.flatnonzero(has[order][i])
+            there, runs, before, h = lane[asked], run[order][i][asked], past[i][asked], hit[order][i][asked]
+            p, a, b = model.chances(order, there, runs, before)
+            flags.append((there, runs, before, a, b, h))
+            c, f = np.zeros(len(lane), np.int64), np.full(len(lane), 1 << FLAG)
+            c[asked], f[asked] = np.where(h, 0, p), np.where(h, p, (1 << FLAG) - p)
+            base, width = (c, f) if base is None else ((base << FLAG) + width * c, width * f)
+            missed[asked[h]] = False
+        j = np.flatnonzero(missed)
+        there, x0 = lane[j], number[i][j]
+        d = model.distinct.take(there)
+        known = x0 < d
+        x0 = np.minimum(x0, d)
+        c = model.place(there, x0)
+        f = np.where(known, model.place(there, np.minimum(x0 + 1, d)), 1 << ORDER0) - c
+        lo, hi = base << ORDER0, width << ORDER0
+        lo[j] += width[j] * c
+        hi[j] = width[j] * f
+        low[i], wide[i] = lo, hi
+        esc = np.zeros(len(lane), bool)
+        esc[j[~known]] = True
+        escaped[i] = esc
+        model.learn(lane, number[i], missed, esc, flags)
+    return lanes, at, low, wide, escaped
 
 
 def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
     """One payload for each block of up to BLOCK ids below 65536."""
     out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for lo in range(0, len(order), LANES):
-        some = order[lo : lo + LANES]
+    order = sorted((i for i in range(len(blocks)) if len(blocks[i])), key=lambda i: -len(blocks[i]))
+    lo = 0
+    while lo < len(order):
+        some = order[lo : lo + max(1, IDS // len(blocks[order[lo]]))]
+        lo += len(some)
         size = np.array([len(blocks[i]) for i in some])
-        if size.max(initial=0) > BLOCK:
+        if size.max() > BLOCK:
             raise ValueError(f"a block has at most {BLOCK} ids")
-        known = np.zeros((int(size.max(initial=0)), len(some)), np.int32)
-        for k, i in enumerate(some):
-            known[: size[k], k] = blocks[i]
-        if known.min(initial=0) < 0 or known.max(initial=0) > 65535:
+        flat = np.concatenate([np.asarray(blocks[i]) for i in some])
+        if flat.min() < 0 or flat.max() > 65535:
             raise ValueError("ids must be from 0 to 65535")
-        # An id takes up to 5 bytes, and cutting a range short one more.
-        room = size * 6 + 16
-        begin = np.cumsum(room) - room
-        buffer, used = np.zeros(int(room.sum()), np.uint8), begin.copy()
-        lanes = _Lanes(size)
-
-        def put(n: int, low: np.ndarray, moved: np.ndarray) -> None:
-            # Bytes that haven't moved are written as well, and overwritten by the next.
-            to = used[:n]
-            for k in range(3):
-                buffer[to + k] = low >> (48 - 8 * k) & 255
-            to += moved
-
-        def bit(at: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> np.ndarray:
-            size = lanes.range[at]
-            unit = size >> _BIT
-            part = unit * chance
-            lanes.low[at] += np.where(hit, 0, part)
-            lanes.range[at] = np.where(hit, part, (unit << _BIT) - part)
-            return hit
-
-        def byte(n: int, which: int, missed: np.ndarray, x: np.ndarray) -> np.ndarray:
-            at = np.arange(n) * 514 + (which * 257) + x
-            flat = lanes.cum.reshape(-1)
-            below, above = np.where(missed, flat.take(at), 0), np.where(missed, flat.take(at + 1), 1 << _BYTE)
-            unit = lanes.range[:n] >> _BYTE
-            lanes.low[:n] += unit * below
-            lanes.range[:n] = unit * (above - below)
-            return x
-
-        _code(size, lanes, bit, byte, put, known)
-        for k in range(7):
-            buffer[used + k] = lanes.low >> (48 - 8 * k) & 255
-        for k, i in enumerate(some):
-            # Trailing zeros are what a decoder reads beyond the end.
-            out[i] = buffer[begin[k] : used[k] + 7].tobytes().rstrip(b"\0")
+        for i, made in zip(some, _payloads(flat.astype(np.int32), size)):
+            out[i] = made
+    return out
+
+
+def _payloads(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
+    block, at, low, wide, escaped = _intervals(ids, size)
+    n = len(size)
+    ids = np.concatenate((ids, [0]))[(np.cumsum(size) - size)[block] + at][escaped]
+    # Steps of a lane: its ids, each new one followed by one more.
+    extra = np.zeros((n, int(size[0])), np.int16)
+    extra[block, at] = escaped
+    np.cumsum(extra, 1, out=extra)
+    steps = size + extra[:, -1]
+    rank = np.argsort(-steps, kind="stable")
+    lane = np.empty(n, np.int64)
+    lane[rank] = np.arange(n)
+    at = (at + extra[block, at] - escaped) * n + lane[block]
+    where, width = np.zeros(int(steps.max()) * n, U), np.zeros(int(steps.max()) * n, U)
+    where[at], width[at] = low, wide
+    prior, at = _prior(), at[escaped] + n
+    where[at], width[at] = prior[ids] << (TOTAL - NEW), (prior[ids + 1] - prior[ids]) << (TOTAL - NEW)
+    del low, wide, at, block, extra
+    where, width = where.reshape(-1, n), width.reshape(-1, n)
+    shown, count, carry = np.zeros(where.shape, np.uint32), np.zeros(where.shape, np.uint8), np.zeros(where.shape, bool)
+    value, size_ = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
+    active = np.searchsorted(-steps[rank], -np.arange(where.shape[0]), "left")
+    for t, m in enumerate(active.tolist()):
+        unit = size_[:m] >> U(TOTAL)
+        add = unit * where[t, :m]
+        v = value[:m] + add
+        carry[t, :m] = v < add
+        r = unit * width[t, :m]
+        moved = (r < U(1 << 56)).astype(np.uint8)
+        for k in (48, 40, 32):
+            moved += r < U(1 << k)
+        bits = moved.astype(U) << U(3)
+        # The settled bytes leave at the top; shifts stay below 64.
+        shown[t, :m] = v >> U(32)
+        count[t, :m] = moved
+        value[:m], size_[:m] = v << bits, r << bits
+    # Bytes of each lane in order of time, then seven that end it; a carry goes to the byte before.
+    count = np.concatenate((count.T, np.full((n, 2), 4, np.uint8)), 1)
+    shown = np.concatenate((shown.T, (value >> U(32)).astype(np.uint32)[:, None], (value & U(0xFFFFFFFF)).astype(np.uint32)[:, None]), 1)
+    carry = carry.T
+    each = count.sum(1, dtype=np.int64)
+    flat = count.ravel()
+    owner = np.repeat(np.arange(flat.size), flat)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(flat, dtype=np.int64) - flat, flat)
+    data = ((shown.ravel()[owner] >> (24 - 8 * within).astype(np.uint32)) & np.uint32(255)).astype(np.int32)
+    before = np.cumsum(count, 1, dtype=np.int64) - count
+    start = np.cumsum(each) - each
+    lanes, times = np.nonzero(carry)
+    np.add.at(data, start[lanes] + before[lanes, times] - 1, 1)
+    while len(over := np.flatnonzero(data > 255)):
+        data[over] -= 256
+        np.add.at(data, over - 1, 1)
+    raw = data.astype(np.uint8)
+    out: list[bytes] = [b""] * n
+    for k, i in enumerate(rank.tolist()):
+        # Trailing zeros are what a decoder reads beyond the end.
+        out[i] = raw[start[k] : start[k] + each[k]].tobytes().rstrip(b"\0")
     return out
 
 
 def decode(payloads: Sequence[bytes], sizes: Sequence[int]) -> list[np.ndarray]:
     """The ids of each block, given their number."""
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(payloads)
-    order = sorted(range(len(payloads)), key=lambda i: -sizes[i])
+    order = sorted((i for i in range(len(payloads)) if sizes[i]), key=lambda i: -sizes[i])
     for lo in range(0, len(order), LANES):
         some = order[lo : lo + LANES]
-        size = np.array([sizes[i] for i in some], np.int64)
-        longest = max((len(payloads[i]) for i in some), default=0) + 8
-        buffer = np.zeros((len(some), longest), np.uint8)
-        for k, i in enumerate(some):
-            buffer[k, : len(payloads[i])] = np.frombuffer(payloads[i], np.uint8)
-        code, used = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-        lanes = _Lanes(size)
-
-        def get(n: int, _: np.ndarray, moved: np.ndarray) -> None:
-            for k in range(int(moved.max(initial=0))):
-                at = np.flatnonzero(moved > k)
-                code[at] = (code[at] << 8 | buffer[at, np.minimum(used[at], longest - 1)]) & MASK
-                used[at] += 1
-
-        get(len(some), code, np.full(len(some), 7))
-
-        def bit(at: np.ndarray, chance: np.ndarray, _: None) -> np.ndarray:
-            unit = lanes.range[at] >> _BIT
-            part = unit * chance
-            hit = (code[at] - lanes.low[at] & MASK) < part
-            lanes.low[at] += np.where(hit, 0, part)
-            lanes.range[at] = np.where(hit, part, (unit << _BIT) - part)
-            return hit
-
-        def byte(n: int, which: int, missed: np.ndarray, _: None) -> np.ndarray:
-            unit = lanes.range[:n] >> _BYTE
-            target = np.minimum((code[:n] - lanes.low[:n] & MASK) // np.maximum(unit, 1), (1 << _BYTE) - 1)
-            cum = lanes.cum[:n, which]
-            group = (cum[:, 16:256:16] <= target[:, None]).sum(1)
-            inside = np.take_along_axis(cum, group[:, None] * 16 + np.arange(1, 16), 1)
-            x = (group * 16 + (inside <= target[:, None]).sum(1)).astype(np.int32)
-            every = np.arange(n)
-            below, above = np.where(missed, cum[every, x], 0), np.where(missed, cum[every, x + 1], 1 << _BYTE)
-            lanes.low[:n] += unit * below
-            lanes.range[:n] = unit * (above - below)
-            return x
-
-        ids = _code(size, lanes, bit, byte, get, None)
-        for k, i in enumerate(some):
-            out[i] = ids[: size[k], k].copy()
+        for i, ids in zip(some, _ids([payloads[i] for i in some], np.array([sizes[i] for i in some], np.int64))):
+            out[i] = ids
     return out
 
 
+def _ids(payloads: list[bytes], size: np.ndarray) -> list[np.ndarray]:
+    n, longest = len(size), int(size[0])
+    room = max(map(len, payloads)) + 16
+    buffer = np.zeros((n, room), np.uint8)
+    for k, x in enumerate(payloads):
+        buffer[k, : len(x)] = np.frombuffer(x, np.uint8)
+    used = np.full(n, 8)
+    code = np.zeros(n, U)
+    for k in range(8):
+        code = code << U(8) | buffer[:, k].astype(U)
+    span = np.full(n, 0xFFFFFFFFFFFFFFFF, U)
+    ids, number_of, id_of = np.zeros((n, longest), np.int32), np.full((n, 65536), -1, np.int16), np.zeros((n, longest + 1), np.int32)
+    guess = [np.zeros((n, 1 << bits), np.int32) for bits in _SLOTS]
+    runs = [np.zeros((n, 1 << bits), np.int32) for bits in _SLOTS]
+    distinct, past, p1, p2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    model, prior = _Model(n, longest), _prior()
+
+    def take(at: np.ndarray, begin: np.ndarray, width: np.ndarray) -> None:
+        """Removes an interval from the code and renews the registers."""
+        unit = span[at] >> U(TOTAL)
+        c, r = code[at] - unit * begin.astype(U), unit * width.astype(U)
+        while len(short := np.flatnonzero(r < U(1 << 56))):
+            r[short] <<= U(8)
+            c[short] = c[short] << U(8) | buffer[at[short], np.minimum(used[at[short]], room - 1)].astype(U)
+            used[at[short]] += 1
+        code[at], span[at] = c, r
+
+    for s, e in _periods(longest):
+        n = int(np.searchsorted(-size, -s, "left"))
+        model.renew(n)
+        told: list[tuple] = []
+        asked: list[list[tuple]] = [[], []]
+        for t in range(s, e):
+            m = int(np.searchsorted(-size, -t, "left"))
+            lane = np.arange(m)
+            slot = _slots(p1[:m], p2[:m])
+            g2, g1 = (g[lane, x] for g, x in zip(guess, slot))
+            r2, r1 = (np.minimum(r[lane, x], 7) for r, x in zip(runs, slot))
+            agree = g1 == g2
+            unit = span[:m] >> U(TOTAL)
+            target = np.minimum(code[:m] // unit, U((1 << TOTAL) - 1)).astype(np.int64)
+            base, width, rest = np.zeros(m, np.int64), np.ones(m, np.int64), target
+            found, missed, outcome = np.zeros(m, np.int64), np.ones(m, bool), np.zeros(m, np.int64)
+            left = TOTAL
+            for order, (g, r) in enumerate(((g2, r2 * 2 + agree), (g1, r1 * 2 + (g2 > 0)))):
+                left -= FLAG
+                j = np.flatnonzero((g > 0) & missed & ((order == 0) | ~agree))
+                p, a, b = model.chances(order, j, r[j], past[j])
+                edge = ((base[j] << FLAG) + width[j] * p) << left
+                h = target[j] < edge
+                asked[order].append((j, r[j], past[j], a, b, h))
+                c, f = np.zeros(m, np.int64), np.full(m, 1 << FLAG)
+                c[j], f[j] = np.where(h, 0, p), np.where(h, p, (1 << FLAG) - p)
+                base, width = (base << FLAG) + width * c, width * f
+                missed[j[h]] = False
+                found[j[h]] = g[j[h]] - 1
+                outcome[j[h]] = 2 - order
+            j = np.flatnonzero(missed)
+            goal = (target[j] - (base[j] << ORDER0)) // width[j]
+            # The last id whose frequency begins at the goal or before, by bisection; the one after the known ids is new.
+            a, b = np.zeros(len(j), np.int64), model.distinct[j].copy()
+            while (a < b).any():
+                middle = (a + b + 1) >> 1
+                below = model.place(j, middle) <= goal
+                a, b = np.where(below, middle, a), np.where(below, b, np.maximum(middle - 1, a))
+            known = a < model.distinct[j]
+            c = model.place(j, a)
+            f = np.where(known, model.place(j, np.minimum(a + 1, model.distinct[j])), 1 << ORDER0) - c
+            start, wide = base << ORDER0, width << ORDER0
+            start[j], wide[j] = start[j] + width[j] * c, width[j] * f
+            take(lane, start, wide)
+            found[j[known]] = id_of[j[known], a[known]]
+            new = j[~known]
+            if len(new):
+                point = (np.minimum(code[new] // (span[new] >> U(TOTAL)), U((1 << TOTAL) - 1)).astype(np.int64)) >> (TOTAL - NEW)
+                x = np.searchsorted(prior, point, "right") - 1
+                take(new, prior[x] << (TOTAL - NEW), (prior[x + 1] - prior[x]) << (TOTAL - NEW))
+                found[new] = x
+            fresh = np.flatnonzero(number_of[lane, found] < 0)
+            number_of[fresh, found[fresh]] = distinct[fresh]
+            id_of[fresh, distinct[fresh]] = found[fresh]
+            distinct[fresh] += 1
+            escaped = np.zeros(m, bool)
+            escaped[new] = True
+            told.append((lane, number_of[lane, found].astype(np.int64), missed, escaped))
+            for g, r, x in zip(guess, runs, slot):
+                r[lane, x] = np.where(g[lane, x] == found + 1, r[lane, x] + 1, 0)
+                g[lane, x] = found + 1
+            ids[:m, t] = found
+            past[:m] = (past[:m] << 2 | outcome) & 63
+            p2[:m], p1[:m] = p1[:m], found + 1
+        flags = [tuple(np.concatenate(x) for x in zip(*a)) for a in asked]
+        model.learn(*(np.concatenate(x) for x in zip(*told)), flags)
+    return [ids[k, : size[k]].copy() for k in range(len(size))]
+
+
 @lru_cache(2)
 def _encoding(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values(), default=0) > 65535:
+        raise ValueError(f"{path} has ids above 65535")
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -257,6 +405,10 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[33:127] = True
 
 
+#: Bits of the number of places in the table of known stretches.
+_TABLE = 19
+
+
 class Tokenizer:
     """Ids of texts by a byte-level BPE with the usual word pattern, each distinct stretch of text encoded once.
 
@@ -271,10 +423,13 @@ class Tokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.entry: dict[bytes, int] = {}
+        self.place = np.full(1 << _TABLE, -1, np.int64)
+        self.key = np.zeros((3, 1024), U)
+        self.start = np.zeros(1024, np.int64)
+        self.size = np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.uint16)
+        self.used = 0
 
     def _encode_all(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all, and how many each has."""
@@ -311,27 +466,51 @@ class Tokenizer:
         cut[off] = True
         edges = np.flatnonzero(cut)
         start, end = edges[:-1], edges[1:]
-        h = T.Prefix(T.CODES[data]).of(start, end)
-        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
-            self.forget()
-        at = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != unique
-        if new.any():
-            raw = data.tobytes()
-            made, size = self._encode_all([raw[i:j].decode("utf-8", "replace") for i, j in zip(start[where[new]].tolist(), end[where[new]].tolist())])
-            begin = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate((self.ids, made))
-            to = at[new]
-            self.known, self.start, self.size = (np.insert(a, to, b) for a, b in ((self.known, unique[new]), (self.start, begin), (self.size, size)))
-            at = at + np.cumsum(new) - new
-        slot = at[inverse]
+        slot = self._entries(data, start, end)
         counts = self.size[slot]
         ends = np.concatenate(([0], np.cumsum(counts)))
         return self.ids[T.ragged(self.start[slot], counts)], ends[np.searchsorted(edges, off)]
 
+    def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each stretch's entry. Up to 16 bytes are compared as two words and a length, longer stretches as they are; no two stretches are told apart by a hash alone."""
+        if len(self.entry) > self.most:
+            self.forget()
+        length = end - start
+        key = np.stack((T.loaded(data, start, np.minimum(length, 8)), T.loaded(data, np.maximum(end - 8, start), np.where(length > 8, 8, 0)), length.astype(U)))
+        place = (T.mix(key[0] + T.mix(key[1] + key[2] * U(T.BASE))) >> U(64 - _TABLE)).astype(np.int64)
+        out = self.place[place]
+        same = (out >= 0) & (length <= 16)
+        for k in range(3):
+            same &= self.key[k][np.maximum(out, 0)] == key[k]
+        missing = np.flatnonzero(~same)
+        if len(missing):
+            raw = data.tobytes()
+            words = [raw[i:j] for i, j in zip(start[missing].tolist(), end[missing].tolist())]
+            new = [w for w in dict.fromkeys(words) if w not in self.entry]
+            if new:
+                made, size = self._encode_all([w.decode("utf-8", "replace") for w in new])
+                first = len(self.entry)
+                self.entry.update(zip(new, range(first, first + len(new))))
+                self.start = _grown(self.start, first, self.used + np.cumsum(size) - size)
+                self.size = _grown(self.size, first, size)
+                self.ids = _grown(self.ids, self.used, made)
+                self.used += len(made)
+            out[missing] = [self.entry[w] for w in words]
+            short = missing[length[missing] <= 16]
+            self.place[place[short]] = out[short]
+            if len(self.entry) > self.key.shape[1]:
+                self.key = np.concatenate((self.key, np.zeros((3, 2 * len(self.entry)), U)), 1)
+            self.key[:, out[short]] = key[:, short]
+        return out
+
+
+def _grown(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``a`` with ``more`` from ``used`` on, in twice the room where it is short."""
+    if used + len(more) > len(a):
+        a = np.concatenate((a, np.zeros(used + 2 * len(more), a.dtype)))
+    a[used : used + len(more)] = more
+    return a
+
 
 @lru_cache(2)
 def _shared(path: str, pattern: str) -> Tokenizer:

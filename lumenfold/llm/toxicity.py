@@ -210,7 +210,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, first = T.runs(inside(data, off), off)
             if not len(start):
                 continue
-            h = T.Prefix(T.CODES[low]).of(start, end)
+            h = T.word_hashes(low, start, end)
             before = np.concatenate((np.zeros(1, U), h[:-1]))
             begins = first[:-1]
             before[begins[begins < len(h)]] = U(0)
