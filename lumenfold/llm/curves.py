@@ -1,9 +1,9 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
 Each curve orders all vectors by the Hilbert key of a random projection with a random shift, range-partitioned in
-Spark. A vector's candidates are those in its own and the neighbouring blocks of every curve; the lists of all
-curves are merged and ranked by cosine. How many blocks are looked at follows from the recall that a sample of queries
-measures against brute force on these data.
+Spark. A query's candidates are those in its own and the neighbouring blocks of every curve: every vector goes to its block
+once a curve, and queries go to all blocks in their reach. The lists of all blocks are merged and ranked by cosine. How many blocks
+are looked at follows from the recall that a sample of queries measures against brute force on these data.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .capfilter import unit_vectors
 from .scratch import Scratch
 
 U = np.uint64
+#: Queries that meet a block in one task, and vectors of the block that they are multiplied with at once.
+ASKED, AT_ONCE = 2048, 1024
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -109,65 +111,72 @@ def _brute(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarra
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of group and, in it, source block, the group's own block first; a block's candidates are scored when the next begins."""
-    group, own, candidates, held = None, [], [], None
+    """Rows (group, whether a candidate, id, v) in order of group, its queries first; the k best candidates of each query in each group."""
+    group, asked, waiting, held, unit = None, [], [], None, None
 
-    def score():
-        nonlocal candidates, held
-        if candidates:
-            q, c = np.stack([v for _, v in own]), np.stack([v for _, v in candidates])
-            held = top(q, np.array([i for i, _ in own]), c, np.array([i for i, _ in candidates]), k, held)
-            candidates = []
+    def score() -> None:
+        nonlocal held, waiting
+        if asked and waiting:
+            held = top(unit, np.array([i for i, _ in asked]), np.stack([v for _, v in waiting]), np.array([i for i, _ in waiting]), k, held)
+        waiting = []
 
-    source = None
     for batch in batches:
-        gs, order, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+        groups, candidate, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
         lists = batch.column(3)
-        flat, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
-        at = np.concatenate(([0], np.cumsum(size)))
+        flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
         for i in range(batch.num_rows):
-            if gs[i] != group:
-                if group is not None:
-                    score()
-                    if held is not None:
-                        yield _rows(np.array([x for x, _ in own]), held)
-                group, source, own, candidates, held = gs[i], None, [], [], None
-            if order[i] != source:
+            if groups[i] != group:
                 score()
-                source = order[i]
+                if held is not None:
+                    yield _rows(np.array([x for x, _ in asked]), held)
+                group, asked, held, unit = groups[i], [], None, None
             v = flat[at[i] : at[i + 1]]
-            if source == -1:
-                own.append((ids[i], v))
-            candidates.append((ids[i], v))
-    if group is not None:
-        score()
-        if held is not None:
-            yield _rows(np.array([x for x, _ in own]), held)
+            if not candidate[i]:
+                asked.append((ids[i], v))
+            elif asked:  # a block that no query reaches isn't looked at
+                unit = np.stack([x for _, x in asked]) if unit is None else unit
+                waiting.append((ids[i], v))
+                if len(waiting) == AT_ONCE:
+                    score()
+    score()
+    if held is not None:
+        yield _rows(np.array([x for x, _ in asked]), held)
 
 
-def with_copies(ranked: DataFrame, source: DataFrame, copies: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of all vectors, from those of one of each set of equal vectors; ``copies`` (id, rep) has the sets of several.
+def with_copies(ranked: DataFrame, wanted: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours of the vectors ``wanted`` (id, rep), from those of one of each set of equal vectors; ``copies`` (id, rep) has the sets of several.
 
     The k best of a vector lie in its own set and in the k best others by cosine and least id, and are the least ids of each.
     """
     order = F.desc(F.round("cosine", 9)), "neighbour"
-    first = copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select("rep", F.col("id").alias("copy"))
+    # Slots of k + 1 least ids: a sort within hashed parts of a set first, so that no large set is sorted in one task.
+    part = copies.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("rep", "part").orderBy("id"))).where(F.col("n") <= k + 1)
+    first = part.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select("rep", F.col("id").alias("copy"))
     others = ranked.join(first.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "cosine")
-    own = first.select(F.col("rep").alias("id"), F.col("copy").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    own = first.join(wanted.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), F.col("copy").alias("neighbour"), F.lit(1.0).alias("cosine"))
     lists = others.union(own).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("n") <= k + 1).select(F.col("id").alias("rep"), "neighbour", "cosine")
-    everyone = source.select("id").join(copies, "id", "left_anti").select("id", F.col("id").alias("rep")).union(copies.select("id", "rep"))
-    found = everyone.join(lists, "rep").where("id <> neighbour")
+    found = wanted.join(lists, "rep").where("id <> neighbour")
     return found.select("id", "neighbour", "cosine", F.row_number().over(Window.partitionBy("id").orderBy(*order)).alias("rank")).where(F.col("rank") <= k)
 
 
-def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, recall: float = 0.95, curves: int = 4, dims: int = 8, bits: int = 7, block: int = 1024, sample: int = 256, seed: int = 5) -> DataFrame:
-    """(vec_id, neighbour_id, rank, cosine): the k nearest of every vector, found with a mean recall of about ``recall``.
+def cheapest_plan(apart: np.ndarray, blocks: int, recall: float) -> tuple[int, int, int]:
+    """(blocks looked at for a query, curves, reach): the cheapest with which the share ``recall`` of the sampled neighbours, ``apart`` by so many blocks on each curve, is in reach."""
+    plans = []
+    for c in range(1, apart.shape[1] + 1):
+        reach = int(np.quantile(apart[:, :c].min(1), recall, method="higher")) if len(apart) else 0
+        plans.append((c * min(2 * reach + 1, blocks), c, reach))
+    return min(plans)
+
+
+def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 1, recall: float = 0.95, curves: int = 4, dims: int = 8, bits: int = 7, block: int = 256, sample: int = 256, seed: int = 5, told: list | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, rank, cosine): the k nearest of every vector whose id is divisible by ``every``, among all, with a mean recall of about ``recall``.
 
-    Up to ``curves`` curves are laid. ``sample`` queries (those with the least id hashes) are answered by brute force, and the
+    Up to ``curves`` curves are laid over all vectors. ``sample`` vectors (those with the least id hashes) are answered by brute force, and the
     number of curves and of blocks to either side that is cheapest while the sample's neighbours are within reach at the
-    rate ``recall`` is used for all queries. On data without structure that comes close to comparing all with all; it is never less.
+    rate ``recall`` is used for all queries; ``told`` gets (blocks looked at for a query, curves, reach, all blocks). On data without structure
+    that comes close to comparing each query with all vectors; it is never less.
     Ties go to the lesser id; equal vectors are searched as one, so all of them are found. Vectors that are null, empty, zero or not finite (or hold a null) are no neighbours and have none; null ids are
-    left out; of rows with the same id the least vector counts. Vectors of different lengths aren't compared. A vector has fewer than k rows only if
+    left out; of rows with the same id the least vector counts. Vectors of different lengths aren't compared. A query has fewer than k rows only if
     there are too few others in reach. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -177,6 +186,8 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     # Equal vectors are searched as one, that with the least id, and come back at the end.
     source = scratch.save(single.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("c")), "source")
     copies = scratch.save(single.join(source.where("c > 1").select("v", F.col("id").alias("rep")), "v").select("id", "rep"), "copies")
+    asking = (F.col("id") % every) == 0
+    wanted = source.where((F.col("c") == 1) & asking).select("id", F.col("id").alias("rep")).union(copies.where(asking).select("id", "rep"))
     source = source.select("id", "v")
     keyed = source.mapInArrow(lambda it: _keys(it, curves, dims, bits, seed), "id bigint, curve int, dim int, key bigint")
     ranged = scratch.save(keyed.repartitionByRange("curve", "dim", "key", "id").sortWithinPartitions("curve", "dim", "key", "id").withColumn("p", F.spark_partition_id()), "ranged")
@@ -198,28 +209,37 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     queries: dict = {}
     for d in asked["v"].map(len).unique():
         some = asked[asked["v"].map(len) == d]
-        x = np.stack(some["v"].to_list())
-        queries[int(d)] = some["id"].to_numpy(np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
+        queries[int(d)] = some["id"].to_numpy(np.int64), np.concatenate([u for _, u in unit_vectors(pa.array(some["v"].to_list()))])
     best = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "neighbour")
     exact = source.mapInArrow(lambda it: _brute(it, queries, k), "id bigint, neighbour bigint, cosine double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "neighbour").toPandas()
-    wanted = np.unique(np.concatenate((exact["id"], exact["neighbour"]))) if len(exact) else np.zeros(0, np.int64)
-    few = placed.join(F.broadcast(spark.createDataFrame([(int(i),) for i in wanted], "id bigint")), "id").select("id", "curve", "block").toPandas()
+    near = np.unique(np.concatenate((exact["id"], exact["neighbour"]))) if len(exact) else np.zeros(0, np.int64)
+    # At most ``sample`` * (k + 1) ids.
+    few = placed.join(F.broadcast(spark.createDataFrame([(int(i),) for i in near], "id bigint")), "id").select("id", "curve", "block").toPandas()
     pos = {(int(i), int(c)): int(b) for i, c, b in few.itertuples(index=False, name=None)}
-    apart = np.array([[abs(pos[i, c] - pos[j, c]) for c in range(curves)] for i, j in exact.itertuples(index=False, name=None)]).reshape(-1, curves)
-    blocks = max(before.values()) // block + 1
-    plans = []
-    for c in range(1, curves + 1):
-        reach = int(np.quantile(apart[:, :c].min(1), recall, method="higher")) if len(apart) else 0
-        plans.append((c * min(2 * reach + 1, blocks), c, reach))
-    _, used, reach = min(plans)
-    own = placed.where(F.col("curve") < used).join(source, "id")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    own = own.withColumn("norm", norm).select("id", "curve", "dim", "block", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-    sent = own.select("curve", "dim", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.col("block") + reach, F.lit(blocks - 1)))).alias("target"), F.col("block").alias("from"), "id", "v")
-    sent = sent.select(F.xxhash64("curve", "dim", "target").alias("g"), F.when(F.col("from") == F.col("target"), -1).otherwise(F.col("from")).alias("source"), "id", "v")
-    lists = sent.repartition("g").sortWithinPartitions("g", "source").mapInArrow(lambda it: _blocks(it, k), "id bigint, neighbour bigint, cosine double")
+    apart = np.array([[abs(pos[i, c] - pos[j, c]) for c in range(curves)] for i, j in exact.itertuples(index=False, name=None)], np.int64).reshape(-1, curves)
+    blocks = (max(before.values()) - 1) // block + 1
+    looked, used, reach = cheapest_plan(apart, blocks, recall)
+    if told is not None:
+        told.append((looked, used, reach, blocks))
+    units = source.mapInArrow(_units, "id bigint, v array<double>")
+    own = placed.where(F.col("curve") < used)
+    to = F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.col("block") + reach, F.lit(blocks - 1)))).alias("block")
+    # More queries than one task takes come in parts, each of which meets the whole block.
+    parts = max(1, -(-(2 * reach + 1) * block // (every * ASKED)))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
+    sent = own.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("curve", "dim", to, part, F.lit(False).alias("candidate"), "id")
+    rows = own.select("curve", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("candidate"), "id")
+    sent = sent.unionByName(rows).join(units, "id").select(F.xxhash64("curve", "dim", "block", "part").alias("g"), "candidate", "id", "v")
+    lists = sent.repartition("g").sortWithinPartitions("g", "candidate").mapInArrow(lambda it: _blocks(it, k), "id bigint, neighbour bigint, cosine double")
     ranked = lists.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     ranked = ranked.select("id", "neighbour", "cosine", "rank")
     if not copies.isEmpty():
-        ranked = with_copies(ranked, source, copies, k)
+        ranked = with_copies(ranked, wanted, copies, k)
     return ranked.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 5).alias("cosine"))
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, unit in unit_vectors(batch.column(1)):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * unit.shape[1]), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists], ["id", "v"])

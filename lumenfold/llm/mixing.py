@@ -32,17 +32,25 @@ def tempered(tokens: Mapping, power: float) -> dict:
 
 def _moments(batches: Iterator[pa.RecordBatch], width: int, multipliers: np.ndarray) -> Iterator[pa.RecordBatch]:
     k = len(multipliers)
-    grad, hess = np.zeros(k), np.zeros((k, k))
+    cells: dict[int, float] = {}
     for batch in batches:
         t = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
         x = [batch.column(c + 1).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(width)]
         w = t * np.exp(sum(multipliers[i] for i in x))
         for a in x:
-            grad += np.bincount(a, w, k)
             for b in x:
-                hess += np.bincount(a * k + b, w, k * k).reshape(k, k)
-    i, j = np.nonzero(hess)
-    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(hess[i, j])], ["i", "j", "v"])
+                at, where = np.unique(a * k + b, return_inverse=True)
+                for c, v in zip(at.tolist(), np.bincount(where, w, len(at)).tolist()):
+                    cells[c] = cells.get(c, 0.0) + v
+    at = np.array(sorted(cells), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array([cells[c] for c in at.tolist()], pa.float64())], ["i", "j", "v"])
+
+
+def _least(batches: Iterator[pa.RecordBatch], width: int, multipliers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            tilt = sum(multipliers[batch.column(c).to_numpy(zero_copy_only=False)] for c in range(width))
+            yield pa.RecordBatch.from_arrays([pa.array([float(tilt.min())])], ["low"])
 
 
 class Mix:
@@ -69,8 +77,8 @@ class Mix:
 def fit(docs: DataFrame, columns: Sequence[str] = ("source", "lang"), text_col: str = "text", targets: Mapping[str, Mapping] | None = None, power: float = 0.8, budget: float | None = None, tolerance: float = 1e-10, rounds: int = 60) -> tuple[Mix, DataFrame]:
     """Multipliers for ``docs`` and the table of tokens (saved) that they were fitted on.
 
-    ``targets`` has the wanted shares of tokens by column and value (null is a value, too), else tokens to the ``power``.
-    Groups without tokens carry no constraint and get multiplier 0. The rates sum to ``budget`` tokens; by default to as many as make
+    ``targets`` has the wanted shares of tokens by column and value (null is a value, too), else tokens to the ``power``. A target for a
+    value that has no tokens raises ValueError, as does a value with tokens that has no target. Groups without tokens carry no constraint and get multiplier 0. The rates sum to ``budget`` tokens; by default to as many as make
     the least rate 1, so that no document is left out. Targets that no rates can meet raise ValueError.
     """
     if not 1 <= len(columns):
@@ -84,7 +92,10 @@ def fit(docs: DataFrame, columns: Sequence[str] = ("source", "lang"), text_col:
         values[c] = {r[0]: int(r[1]) for r in found}
     if (k := sum(map(len, values.values()))) > MAX_GROUPS:
         raise ValueError(f"{k} groups or more; at most {MAX_GROUPS}")
-    shares = {c: tempered(values[c], power) if targets is None or c not in targets else {v: s for v, s in targets[c].items() if values[c].get(v, 0) > 0} for c in columns}
+    shares = {c: tempered(values[c], power) if targets is None or c not in targets else dict(targets[c]) for c in columns}
+    for c in columns:
+        if lost := [v for v, s in shares[c].items() if s > 0 and not values[c].get(v)]:
+            raise ValueError(f"{c} {lost[0]!r} has a target but no tokens")
     for c in columns:
         total = sum(shares[c].values())
         if values[c] and sum(values[c].values()) and (total <= 0 or any(s <= 0 for s in shares[c].values()) or {v for v, t in values[c].items() if t} - shares[c].keys()):
@@ -103,10 +114,9 @@ def fit(docs: DataFrame, columns: Sequence[str] = ("source", "lang"), text_col:
     done, err, step, before = 0, np.inf, np.zeros(len(m)), np.inf
     for done in range(1, rounds + 1):
         at = m.copy()
-        sums = coded.mapInArrow(lambda it: _moments(it, len(columns), at), "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+        sums = coded.mapInArrow(lambda it: _moments(it, len(columns), at), "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
         hess = np.zeros((len(m), len(m)))
-        for i, j, v in sums:
-            hess[i, j] = v
+        hess[sums["i"], sums["j"]] = sums["v"]
         total = hess.diagonal().sum() / len(columns)
         p = hess.diagonal() / total
         value = math.log(total) - float(wanted @ m)
@@ -123,8 +133,8 @@ def fit(docs: DataFrame, columns: Sequence[str] = ("source", "lang"), text_col:
         raise ValueError(f"no rates meet these targets: shares are off by {err:.3g} after {done} iterations")
     multipliers = {c: {v: float(m[index[c, v]]) for v in values[c]} for c in columns}
     if budget is None:
-        least = coded.select(*[f"x{n}" for n in range(len(columns))]).distinct().select(F.array(*[f"x{n}" for n in range(len(columns))]).alias("x"))
-        low = min(float(sum(m[i] for i in r[0])) for r in least.collect())
+        least = coded.select(*[f"x{n}" for n in range(len(columns))]).mapInArrow(lambda it: _least(it, len(columns), m), "low double")
+        low = least.agg(F.min("low")).first()[0]
         scale = math.exp(-low)
     else:
         scale = budget / total
@@ -146,7 +156,10 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] = ("source", "lang"), **parameters) -> DataFrame:
-    """``docs`` with each row as many times as ``mixing_plan`` has copies of it; all columns stay as they are."""
+    """``docs`` with each row as many times as ``mixing_plan`` has copies of it; all columns stay as they are.
+
+    Nulls, empty texts, repeated rows and ids are treated as there; an empty table gives an empty one, and extra columns of any name stay.
+    """
     mix, _ = fit(docs, columns, text_col, **parameters)
     out = mix.apply(docs, id_col).where("__lf_copies > 0")
     return out.withColumn("__lf_copy", F.explode(F.sequence(F.lit(1), F.col("__lf_copies")))).select(*[out[c] for c in docs.columns])

@@ -13,9 +13,9 @@ VECTORS = f"v AS (SELECT vec_id, {UNIT} AS u FROM embeddings)"
 GROUPS = "e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a AS node, least(a, min(b)) AS root, count(DISTINCT b) AS n FROM r GROUP BY a)"
 
 
-def neighbours(k: int = 10) -> str:
-    """The exact neighbours; the approximate search gives the same where one block holds the whole table."""
-    return f"WITH {VECTORS}, c AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_inner_product(a.u, b.u) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id), r AS (SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, neighbour_id))::INTEGER AS rank FROM c) SELECT vec_id, neighbour_id, rank, round(s, 5) AS cosine FROM r WHERE rank <= {k}"
+def neighbours(k: int = 10, every: int = 50) -> str:
+    """The exact neighbours of every vector whose id is divisible by ``every``; the approximate search gives the same where all blocks are in reach."""
+    return f"WITH {VECTORS}, c AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_inner_product(a.u, b.u) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0), r AS (SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, neighbour_id))::INTEGER AS rank FROM c) SELECT vec_id, neighbour_id, rank, round(s, 5) AS cosine FROM r WHERE rank <= {k}"
 
 
 def near_vectors(threshold: float = 0.9) -> str:
@@ -36,6 +36,20 @@ m AS (SELECT 0 AS shard, 0::BIGINT AS pos, {jump.format(c='capacity').replace('p
 SELECT doc_id, size, shard::INTEGER AS shard, capacity FROM t, c, m WHERE total <= upto AND (total > pos OR (shard = 0 AND total = 0))"""
 
 
+def mixture(power: float = 0.8, steps: int = 400) -> str:
+    """Iterative proportional fitting of the cells' tokens, another way to the same rates as the convex dual."""
+    share = "SELECT {0}, pow(sum(t), {1}) / sum(pow(sum(t), {1})) OVER () AS share FROM c GROUP BY {0}"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, lang, len({WORDS.format('text')})::BIGINT AS tokens FROM documents),
+c AS (SELECT source, lang, sum(tokens)::DOUBLE AS t FROM d WHERE tokens > 0 GROUP BY source, lang),
+a AS ({share.format('source', power)}), b AS ({share.format('lang', power)}),
+f AS (SELECT c.source, c.lang, c.t, a.share AS x, b.share AS y FROM c JOIN a ON c.source IS NOT DISTINCT FROM a.source JOIN b ON c.lang IS NOT DISTINCT FROM b.lang),
+i AS (SELECT 0 AS k, source, lang, x, y, t, t AS w FROM f
+  UNION ALL SELECT k + 1, source, lang, x, y, t, CASE WHEN k % 2 = 0 THEN w * x / sum(w) OVER (PARTITION BY source) ELSE w * y / sum(w) OVER (PARTITION BY lang) END FROM i WHERE k < {steps}),
+r AS (SELECT source, lang, (w / t) / min(w / t) OVER () AS rate FROM i WHERE k = {steps}),
+u AS (SELECT d.*, r.rate, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, floor(r.rate + 1e-9) AS whole FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang)
+SELECT doc_id, source, lang, tokens, round(rate, 6) AS rate, (whole + (u < rate - whole - 1e-9)::INT)::INTEGER AS copies FROM u"""
+
+
 def passages(length: int = 50) -> str:
     first = "OVER (PARTITION BY h ORDER BY doc_id, pos)"
     back = "OVER (PARTITION BY doc_id ORDER BY pos)"
@@ -65,6 +79,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_space_filling_ann": neighbours(),
         "op2_cap_filter_near_duplicates": near_vectors(),
         "op3_minimax_shards": shards(),
+        "op4_entropy_mix": mixture(),
         "op5_suffix_repeats": passages(),
         "op9_minhash_near_duplicates": near_documents(),
     }

@@ -20,6 +20,10 @@ from .scratch import Scratch
 from .tokens import with_words
 
 
+#: Copies of a row that are laid out together.
+PART = 1000
+
+
 def best_fit(sizes: list[int], items: list[int], capacity: int, room: list[int], bins: np.ndarray) -> None:
     """Puts ``items``, largest first, into the fullest bin that has room, or a new one; changes ``room`` and ``bins``."""
     free = sorted((r, b) for b, r in enumerate(room) if r > 0)
@@ -73,6 +77,12 @@ def mutate(sizes: np.ndarray, listed: list[int], capacity: int, parent: np.ndarr
     return child
 
 
+def best_possible(total: int, capacity: int) -> float:
+    """The fitness of packing where all bins but one are full, which no packing of ``total`` exceeds."""
+    full, rest = divmod(total, capacity)
+    return (full + (rest / capacity) ** 2) / max(full + (rest > 0), 1)
+
+
 def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> float:
     """Mean squared fill: fewer bins and more uneven ones are better."""
     fill = np.bincount(bins, sizes) / capacity
@@ -82,7 +92,7 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> float:
 def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], size: int, generations: int, rng: np.random.Generator) -> list[np.ndarray]:
     """The population after some generations, the best first."""
     listed = sizes.tolist()
-    lower = -(-int(sizes.sum()) // capacity)
+    goal = best_possible(int(sizes.sum()), capacity) - 1e-12
     pool = [(fitness(sizes, b, capacity), b) for b in population]
     if not pool:
         first = np.full(len(sizes), -1)
@@ -93,8 +103,8 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], size:
         pool.append((fitness(sizes, b, capacity), b))
     pool.sort(key=lambda x: -x[0])
     for _ in range(generations):
-        if pool[0][1].max(initial=-1) + 1 <= lower:
-            break  # no packing has fewer bins
+        if pool[0][0] >= goal:
+            break  # no packing is fitter
         a, b = sorted(rng.choice(len(pool), 2, replace=False))
         child = crossover(sizes, listed, capacity, pool[a][1], pool[b][1], rng)
         if rng.random() < 0.5:
@@ -125,17 +135,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Texts longer than ``capacity`` words are cut into pieces of ``capacity`` and a rest; a full piece is a bin of its own. Every
     word of every row is in exactly one piece, and no bin holds more than ``capacity``. Rows are packed row by row, so repeated rows
     and ids appear as often as they came. Texts without a word (null, empty) have no piece. Null ids are packed like any other.
-    Other columns are ignored. A bin holds documents of one problem of about ``problem_size`` pieces.
+    Other columns are ignored. A bin holds documents of one problem of about ``problem_size`` pieces. Bins are as few as the search finds, and of as many
+    the most uneven ones win, so that room is left in few bins. The result depends on the rows alone, not on their order or partitions: equal fitness goes to the lower island.
     """
     scratch = Scratch(docs.sparkSession)
     counted = with_words(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__lf_body")), "__lf_body", ["doc_id"]).where("tokens > 0")
-    rows = scratch.save(counted.withColumn("row", F.monotonically_increasing_id()), "rows")
-    full = rows.where(F.col("tokens") >= capacity).select("doc_id", "row", F.explode(F.sequence(F.lit(0), F.floor(F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
-    full = full.select(F.concat_ws("-", F.lit("f"), "row", "piece").alias("bin_id"), F.lit(0).alias("slot"), "doc_id", (F.col("piece") * capacity).alias("start_word"), F.lit(capacity).alias("n_words"))
-    rest = rows.where(F.col("tokens") % capacity > 0).select("doc_id", "row", (F.col("tokens") - F.col("tokens") % capacity).cast("int").alias("start_word"), (F.col("tokens") % capacity).cast("int").alias("n_words"))
-    problems = max(1, round(rest.count() / problem_size))
-    rest = rest.withColumn("problem", F.pmod(F.xxhash64("doc_id", "row"), F.lit(problems)))
-    items = rest.groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("doc_id", "row", "start_word", "n_words"))).alias("items"))
+    # Rows of one id and size are interchangeable: they are counted, and numbered when they are laid out again, in parts of bounded length.
+    same = scratch.save(counted.groupBy("doc_id", "tokens").agg(F.count("*").alias("c")), "same")
+    parts = same.select("doc_id", "tokens", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / PART))).alias("part")).repartition("doc_id", "tokens", "part")
+    rows = parts.select("doc_id", "tokens", F.explode(F.sequence(F.col("part") * PART, F.least(F.col("c"), F.col("part") * PART + PART) - 1)).alias("copy"))
+    named = F.concat_ws("-", F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "tokens", "copy", "piece")
+    full = rows.where(F.col("tokens") >= capacity).select("doc_id", "tokens", "copy", F.explode(F.sequence(F.lit(0), F.floor(F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
+    full = full.select(named.alias("bin_id"), F.lit(0).alias("slot"), "doc_id", (F.col("piece") * capacity).alias("start_word"), F.lit(capacity).alias("n_words"))
+    rest = rows.where(F.col("tokens") % capacity > 0).select("doc_id", "tokens", "copy", (F.col("tokens") - F.col("tokens") % capacity).cast("int").alias("start_word"), (F.col("tokens") % capacity).cast("int").alias("n_words"))
+    problems = max(1, round((same.where(F.col("tokens") % capacity > 0).agg(F.sum("c")).first()[0] or 0) / problem_size))
+    rest = rest.withColumn("problem", F.pmod(F.xxhash64("doc_id", "tokens", "copy"), F.lit(problems)))
+    items = rest.groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tokens", "copy", "start_word", "n_words"))).alias("items"))
     items = scratch.save(items, "items")
     isles = items.select("problem", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.n_words").alias("sizes"))
     state = isles.withColumn("elites", F.lit(None).cast("array<array<int>>"))
@@ -148,13 +163,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             state = isles.join(state.select("problem", "island", "elites"), ["problem", "island"]).join(came, ["problem", "island"]).select("problem", "island", "sizes", F.array_distinct(F.concat("elites", "came")).alias("elites"))
     best = state.groupBy("problem").agg(F.min_by(F.col("elites")[0], F.struct("bins", -F.col("fitness"), "island")).alias("bin"))
     placed = items.join(best, "problem").select("problem", F.explode(F.arrays_zip("items", "bin")).alias("z")).select("problem", F.col("z.bin").alias("bin"), "z.items.*")
-    placed = placed.withColumn("slot", F.row_number().over(Window.partitionBy("problem", "bin").orderBy("doc_id", "row")) - 1)
+    placed = placed.withColumn("slot", F.row_number().over(Window.partitionBy("problem", "bin").orderBy("doc_id", "tokens", "copy")) - 1)
     placed = placed.select(F.concat_ws("-", F.lit("p"), "problem", "bin").alias("bin_id"), "slot", "doc_id", "start_word", "n_words")
     return full.unionByName(placed)
 
 
 def packed_bins(docs: DataFrame, capacity: int = 2048, **parameters) -> DataFrame:
-    """One row for each bin of ``pack``: (bin_id, doc_ids, start_words, n_words, total_words), the lists in slot order."""
+    """One row for each bin of ``pack``: (bin_id, doc_ids, start_words, n_words, total_words), the lists in slot order.
+
+    Nulls, empty and very long texts and repeated rows are treated as there; a null id is a null in ``doc_ids``. An empty table gives no bins.
+    """
     parts = pack(docs, capacity=capacity, **parameters)
     bins = parts.groupBy("bin_id").agg(F.array_sort(F.collect_list(F.struct("slot", "doc_id", "start_word", F.col("n_words").alias("n")))).alias("p"), F.sum("n_words").alias("total_words"))
     return bins.select("bin_id", F.col("p.doc_id").alias("doc_ids"), F.col("p.start_word").alias("start_words"), F.col("p.n").alias("n_words"), "total_words")

@@ -44,7 +44,7 @@ def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_space_filling_ann": lambda spark, sf_dir: nearest_neighbours(_table(spark, sf_dir, "embeddings")),
+        "op1_space_filling_ann": lambda spark, sf_dir: nearest_neighbours(_table(spark, sf_dir, "embeddings"), every=50),
         "op2_cap_filter_near_duplicates": lambda spark, sf_dir: near_duplicate_vectors(_table(spark, sf_dir, "embeddings")),
         "op3_minimax_shards": _documents(lambda d: minimax_shards(d, shards=64).withColumnRenamed("group", "doc_id")),
         "op4_entropy_mix": _documents(mixing_plan),

@@ -25,7 +25,10 @@ LEXICON: dict[str, float] = dict.fromkeys(
     1.0,
 )
 #: Ordinary words that are an edit away from a term.
-ORDINARY = frozenset("whores where batch crown blown closer lower loner loser's loses losers' lose trashy clowns stupor ideology bench birch butch switch moro moran whole whose shore smut slot slit scam scrum scan shot shut ship retort regard reward bitcoin pathetically path apathetic filthy fifth firth elegant generate degenerated despicably bustard patient verein vereins".split())
+ORDINARY = frozenset((
+    "whores where batch crown blown closer lower loner loser's loses losers' lose trashy clowns stupor ideology bench birch butch switch moro moran whole whose shore smut slot slit scam scrum scan shot shut ship retort regard reward bitcoin pathetically path apathetic filthy fifth firth elegant generate degenerated despicably bustard patient verein vereins "
+    "duck luck suck buck tuck muck puck ruck yuck funk ducking sucking tucking bucking mucking ducks shirt shift spit suit chit whit sit hit shin shia shim shiv skit sait soit seit smit sum slum swum cum scud slat glut salut blut flut plut slur slug cut count hunt runt punt aunt cant can't cent bunt cult curt cuna "
+    "idiom idioms mormon mormons boron morton macron maroon laser leser poser looser lasers posers closers lowers loners crash brash thrash tras flown crowns ditch pitch witch hitch itch fitch dastard tilth termin termine regenerate regenerated regenerates degenerates discussing digesting petard regarded retarder creting").split())
 REPORTING = frozenset("said says saying say called calls calling quote quoted quotes quoting word words term terms slur slurs insult insults phrase wrote writes meaning means defined definition example mentioned alleged reported".split())
 DIRECTED = frozenset("you your you're youre yourself yours u ur".split())
 _INSIDE = np.zeros(256, bool)
@@ -87,6 +90,10 @@ class Levenshtein:
 EXACT = frozenset(["whore"])
 
 
+#: What a hit weighs whose first letter isn't the term's, and the letters of a term from which on there are such hits.
+FIRST, FIRST_FROM = 0.9, 6
+
+
 def allowed_edits(term: str) -> int:
     """Edits that a misspelling of ``term`` may have: none below 5 letters and for terms in EXACT, 1 below 9 letters, else 2."""
     return 0 if len(term) < 5 or term in EXACT else 1 if len(term) < 9 else 2
@@ -96,7 +103,7 @@ class Lexicon:
     def __init__(self, terms: Mapping[str, float], ordinary: frozenset[str]):
         self.terms, self.ordinary = dict(terms), ordinary
         self.trie: dict = {}
-        looked: dict[tuple[str, int, int], set[bytes]] = {}
+        looked: dict[tuple[str, int, int, int, int], set[bytes]] = {}
         self.most = max(map(allowed_edits, self.terms), default=0)
         for t in self.terms:
             node = self.trie
@@ -107,35 +114,35 @@ class Lexicon:
             # Between characters, so that an edit spoils one piece only; an edit moves what follows by up to four bytes.
             cuts = [len(t[: round(i * len(t) / (d + 1))].encode()) for i in range(d + 2)]
             widest = max((len(c.encode()) for c in t), default=1)
+            # A word of another length has too many edits.
+            lengths = len(b) - widest * d, len(b) + 4 * d
             for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
                 if k == 0:
-                    looked.setdefault(("front", 0, y), set()).add(b[:y])
+                    looked.setdefault(("front", 0, y, *lengths), set()).add(b[:y])
                 elif k == d:
-                    looked.setdefault(("back", 0, y - x), set()).add(b[x:])
+                    looked.setdefault(("back", 0, y - x, *lengths), set()).add(b[x:])
                 else:
                     for shift in range(-k * widest, 4 * k + 1):
-                        looked.setdefault(("front", x + shift, y - x), set()).add(b[x:y])
+                        looked.setdefault(("front", x + shift, y - x, *lengths), set()).add(b[x:y])
         self.looked = {k: np.sort(T.Prefix(T.CODES[np.frombuffer(b"".join(sorted(v)), np.uint8)]).of(np.arange(len(v)) * k[2], (np.arange(len(v)) + 1) * k[2])) for k, v in looked.items()}
-        self.initial = np.zeros(256, bool)
-        self.initial[[t.encode()[0] for t in self.terms]] = True
         self.shortest = min((len(t) - allowed_edits(t) for t in self.terms), default=1)
         self.longest = max((len(t.encode()) + 4 * allowed_edits(t) for t in self.terms), default=0)
         self.known: dict[str, tuple[str, int] | None] = {}
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The closest term (the first in alphabetical order of several) and its edits; the first letter must agree."""
+        """The closest term (the first in alphabetical order of several) and its edits; the first letters agree below FIRST_FROM letters."""
         if word in self.known:
             return self.known[word]
         best: tuple[int, str] | None = None
-        if word not in self.ordinary and word and word[0] in self.trie:
+        if word not in self.ordinary and word:
             auto = Levenshtein(word, self.most)
-            stack = [(self.trie[word[0]], auto.step(auto.start, word[0]))]
+            stack = [(self.trie, auto.start)]
             while stack:
                 node, state = stack.pop()
                 for c, below in node.items():
                     if c == "":
                         e = auto.edits(state)
-                        if e is not None and e <= allowed_edits(below) and (best is None or (e, below) < best):
+                        if e is not None and e <= allowed_edits(below) and (word[0] == below[0] or len(below) >= FIRST_FROM) and (best is None or (e, below) < best):
                             best = e, below
                     elif any(after := auto.step(state, c)):
                         stack.append((below, after))
@@ -147,14 +154,14 @@ class Lexicon:
     def candidates(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Indices of the words that share a piece with a term where few enough edits would leave it."""
         length = end - start
-        at = np.flatnonzero((length >= self.shortest) & (length <= self.longest) & self.initial[low[start]])
+        at = np.flatnonzero((length >= self.shortest) & (length <= self.longest))
         if not len(at):
             return at
-        s, e = start[at], end[at]
+        s, e, length = start[at], end[at], length[at]
         prefix, hit = T.Prefix(T.CODES[low]), np.zeros(len(at), bool)
-        for (kind, shift, n), hashes in self.looked.items():
+        for (kind, shift, n, least, most), hashes in self.looked.items():
             x = s + shift if kind == "front" else e - n
-            ok = np.flatnonzero((x >= s) & (x + n <= e))
+            ok = np.flatnonzero((x >= s) & (x + n <= e) & (length >= least) & (length <= most) & ~hit)
             h = prefix.of(x[ok], x[ok] + n)
             p = np.searchsorted(hashes, h)
             hit[ok] |= hashes[np.minimum(p, len(hashes) - 1)] == h
@@ -189,7 +196,7 @@ def _score(column: pa.Array, lexicon: Lexicon, window: int, near: int, reach: in
             plain, said = [], []
             for i, term, edits in found:
                 a, b = max(first[row], i - near), min(first[row + 1], i + near + 1)
-                weight = lexicon.terms[term] * (1.0, 0.6, 0.4)[edits]
+                weight = lexicon.terms[term] * (1.0, 0.6, 0.4)[edits] * (1.0 if low[start[i]] == term.encode()[0] else FIRST)
                 around = {word(k) for k in range(a, b)}
                 report = any(word(k) in REPORTING for k in range(a, i))
                 if report or quoted(data[max(off[row], start[i] - reach) : start[i]].tobytes(), data[end[i] : min(off[row + 1], end[i] + reach)].tobytes()):
@@ -251,8 +258,8 @@ def toxic_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, score, terms, rejected): the documents whose score reaches ``threshold``.
 
     Words are runs of letters, digits and apostrophes in lower case; punctuation and symbols of Unicode separate them. A word counts as a term within
-    ``allowed_edits`` of it if the first letters agree and it is no ordinary word; a hit weighs the term's
-    weight, times 0.6 at one edit and 0.4 at two, plus 0.5 where the reader is addressed within ``near``
+    ``allowed_edits`` of it and it is no ordinary word; a hit weighs the term's
+    weight, times 0.6 at one edit and 0.4 at two, and FIRST where the first letter is another, plus 0.5 where the reader is addressed within ``near``
     words. A hit in quotation marks (within ``reach`` bytes, on one line) or up to ``near`` words after a reporting word
     weighs a quarter, and of those only the heaviest in a window counts. The score is the largest sum over ``window`` words.
     Null and empty texts score nothing. Null ids and repeated rows come out row by row, as they came in.

@@ -45,7 +45,7 @@ def split(t):
 ODD = [(None, "a null id " * 40), (90, None), (91, ""), (92, " \n\t "), (93, "one"), (94, "ä ö ü 漢字  x")]
 
 
-@pytest.mark.parametrize("name", ["op3_minimax_shards", "op5_suffix_repeats", "op9_minhash_near_duplicates"])
+@pytest.mark.parametrize("name", ["op3_minimax_shards", "op4_entropy_mix", "op5_suffix_repeats", "op9_minhash_near_duplicates"])
 def test_query_matches_sql(name, same):
     same(queries()[name], oracle_sql()[name])
 
@@ -93,7 +93,7 @@ def test_lexicon_matches_brute_force():
             k = rng.randrange(len(w) + 1)
             w[k : k + rng.randrange(2)] = rng.choice(["", rng.choice("abcdefgst")])
         w = "".join(w)
-        near = [(edits(w, t), t) for t in terms if w and t[0] == w[0] and edits(w, t) <= toxicity.allowed_edits(t)]
+        near = [(edits(w, t), t) for t in terms if w and (t[0] == w[0] or len(t) >= 6) and edits(w, t) <= toxicity.allowed_edits(t)]
         expected = None if w in toxicity.ORDINARY or not near else (min(near)[1], min(near)[0])
         assert lex.match(w) == expected, w
         data = np.frombuffer(w.encode(), np.uint8)
@@ -264,6 +264,31 @@ def test_near_duplicates_at_the_edges(spark):
     assert kept.columns == docs.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 5]
 
 
+def thue_morse(a, b, n):
+    """A sequence of 2**n and its complement, which collide in every polynomial hash modulo 2**64 from n = 11 on."""
+    x, y = [a], [b]
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_no_collisions_of_structured_words_and_texts(spark):
+    x, y = ("".join(v) for v in thue_morse("a", "b", 11))
+    p, q = (" ".join(v) for v in thue_morse("on", "off", 11))
+    out = minhash.near_duplicates(texts(spark, [(1, f"{x} here"), (2, f"{y} here"), (3, p + " end"), (4, q + " end"), (5, p + " end")]), n=2000).collect()
+    assert {(r["doc_id"], r["kept_id"]) for r in out} == {(5, 3)}
+    data = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+    start, end, _ = text.words(data, np.array([0, len(data)]))
+    assert len(set(text.word_hashes(data, start, end).tolist())) == 2
+
+
+def test_texts_of_one_id_all_join(spark):
+    rng = random.Random(11)
+    one, two = words(rng, 60, 10**6), words(rng, 60, 10**6)
+    out = minhash.near_duplicates(texts(spark, [(1, one), (5, one), (5, two), (9, two + " more")])).collect()
+    assert {(r["doc_id"], r["kept_id"]) for r in out} == {(5, 1), (9, 1)}
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_components_either_way(spark, most):
     rng = random.Random(7)
@@ -386,6 +411,8 @@ def test_mixing_budget_targets_and_copies(spark):
     assert n["b"] in range(130, 171) and n["a"] in range(110, 191)
     with pytest.raises(ValueError):
         mixing.mixing_plan(docs, columns=("source",), targets={"source": {"a": 1.0}})
+    with pytest.raises(ValueError, match="no tokens"):
+        mixing.mixing_plan(docs, columns=("source",), targets={"source": {"a": 0.3, "b": 0.2, "code": 0.5}})
     assert mixing.mixing_plan(frame(spark, [])).count() == 0
     assert [r["copies"] for r in mixing.mixing_plan(frame(spark, [(1, None, None, None)])).collect()] == [1]
     crowd = mixing.mix_sources(crowded(spark, [(1, "a b"), (2, None)]))
@@ -444,6 +471,39 @@ def test_genetic_search_beats_or_meets_best_fit():
     assert better >= 3
 
 
+def fewest_bins(sizes, capacity):
+    """By dynamic programming over subsets: (bins, fill of the last) of each."""
+    best = [(1, 0)] + [(99, 0)] * ((1 << len(sizes)) - 1)
+    for s in range(1, 1 << len(sizes)):
+        for k, x in enumerate(sizes):
+            if s >> k & 1:
+                n, f = best[s ^ 1 << k]
+                best[s] = min(best[s], (n, f + x) if f + x <= capacity else (n + 1, x))
+    return best[-1][0]
+
+
+def test_genetic_search_reaches_the_optimum_of_small_cases():
+    rng = np.random.default_rng(12)
+    fitted = found = optimum = 0
+    for trial in range(20):
+        sizes = rng.integers(15, 70, 12)
+        first = np.full(12, -1)
+        packing.best_fit(sizes.tolist(), list(range(12)), 100, [], first)
+        pool = packing.evolve(sizes, 100, [], 4, 16, np.random.default_rng(trial))
+        fitted, found, optimum = fitted + first.max() + 1, found + pool[0].max() + 1, optimum + fewest_bins(sizes.tolist(), 100)
+        assert packing.fitness(sizes, pool[0], 100) <= packing.best_possible(int(sizes.sum()), 100) + 1e-12
+    assert optimum <= found <= fitted and found <= 1.02 * optimum
+
+
+def test_packing_depends_on_the_rows_alone(spark):
+    rng = random.Random(9)
+    pairs = [(rng.choice([None, i]), "w " * rng.randrange(1, 260)) for i in range(200)] + [(7, "w " * 30)] * 2500
+    docs = texts(spark, pairs)
+    one, two = (sorted(map(tuple, packing.pack(d, capacity=100, problem_size=300).collect()), key=str) for d in (docs, docs.repartition(7).orderBy("text")))
+    assert one == two
+    placed(packing.pack(docs, capacity=100, problem_size=300).collect(), pairs, 100)
+
+
 def test_crossover_injects_whole_bins():
     rng = np.random.default_rng(0)
     sizes = rng.integers(10, 90, 40)
@@ -515,6 +575,30 @@ def test_codec_round_trip():
             tokencodec.encode(bad)
 
 
+def test_tokenizer_never_trusts_a_hash():
+    from lumenfold.llm.queries import _tokenizer
+
+    path, pattern = _tokenizer("byte_bpe_50k.tiktoken")
+    words = tokencodec.Tokenizer(path, pattern, most=50)
+    enc = tokencodec._encoding(path, pattern)
+    x, y = ("".join(v) for v in thue_morse("a", "b", 11))
+    rng = random.Random(4)
+    for trial in range(30):
+        many = [x, y, f" {x} {y} "] + ["".join(rng.choice("abc .é\n") for _ in range(rng.randrange(60))) for _ in range(20)]
+        rng.shuffle(many)
+        raw = [t.encode() for t in many]
+        ids, begin = words.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+        assert [ids[i:j].tolist() for i, j in zip(begin, begin[1:])] == [enc.encode_ordinary(t) for t in many]
+
+
+def test_codec_is_smaller_than_zlib(spark):
+    from lumenfold.llm.queries import _tokenizer
+
+    rows = tokencodec.encode_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), *_tokenizer("byte_bpe_50k.tiktoken")).select("n_tokens", "payload").collect()
+    ids = tokencodec.decode([r["payload"] for r in rows], [r["n_tokens"] for r in rows])
+    assert sum(len(r["payload"]) for r in rows) < 0.85 * sum(len(zlib.compress(x.astype("<u2").tobytes(), 6)) for x in ids)
+
+
 def test_documents_encode_and_decode(spark):
     from lumenfold.llm.queries import _tokenizer
 

@@ -70,6 +70,32 @@ def test_neighbours_reach_the_recall(spark, spread):
         assert r["cosine"] == pytest.approx(s[r["vec_id"], r["neighbour_id"]], abs=1e-5)
 
 
+def test_share_of_candidates_falls_with_the_table(spark):
+    """Of vectors that lie in groups, a query meets a smaller share the more there are; only queries have rows."""
+    shares = []
+    for n in (1000, 4000):
+        told = []
+        rows = clustered(n, 24, 4, 0.1)
+        out = curves.nearest_neighbours(frame(spark, rows), k=5, every=50, block=64, told=told).collect()
+        (looked, _, _, blocks), = told
+        shares.append(looked / blocks)
+        s = unit(rows)[::50] @ unit(rows).T
+        s[np.arange(len(s)), np.arange(len(s)) * 50] = -9
+        exact = np.argsort(-s, axis=1)[:, :5]
+        found = {(r["vec_id"], r["neighbour_id"]) for r in out}
+        assert {i for i, _ in found} == set(range(0, n, 50))
+        assert sum((50 * i, int(j)) in found for i in range(len(s)) for j in exact[i]) >= 0.9 * exact.size
+    assert shares[1] < 0.6 * shares[0]
+
+
+def test_neighbours_of_extreme_norms(spark):
+    rows = [(i, [x * f for x in v]) for i, ((_, v), f) in enumerate(zip(clustered(40, 4, 3), itertools.cycle([1.0, 1e200, 1e-200])))] + [(90, [float("inf"), 1.0, 0.0, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = curves.nearest_neighbours(docs, k=3, every=10)
+    assert Counter(r["vec_id"] for r in got.collect()) == {0: 3, 10: 3, 20: 3, 30: 3}
+    assert all(r["vec_id"] != 90 and r["kept_id"] != 90 for r in capfilter.near_duplicate_vectors(docs).collect())
+
+
 def test_neighbours_at_the_edges(spark):
     rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0]), (3, [2.0, 0.0, 0.0, 0.0]), (3, [2.0, 0.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0, 0.0])]
     out = curves.nearest_neighbours(crowded(spark, rows + ODD), k=2).orderBy("vec_id", "rank").collect()
@@ -124,7 +150,8 @@ def test_near_vectors_match_brute_force(spark):
     out = capfilter.near_duplicate_vectors(frame(spark, rows + ODD[:6])).collect()
     exact = groups(rows, 0.9)
     found = {(r["vec_id"], r["kept_id"]) for r in out}
-    assert len(exact) > 500 and len(found & exact) >= 0.95 * len(exact) and len(found - exact) <= 0.05 * len(exact)
+    # A missed link may leave a vector with another representative; no vector is grouped that has no partner.
+    assert len(exact) > 500 and len(found & exact) >= 0.97 * len(exact) and {i for i, _ in found} | {j for _, j in found} <= {i for i, _ in exact} | {j for _, j in exact}
     sizes = Counter(r["kept_id"] for r in out)
     assert all(r["group_size"] == sizes[r["kept_id"]] + 1 for r in out)
 
@@ -159,6 +186,14 @@ def test_isolated_pairs_meet_on_a_filter(dim, count):
     assert len(of_x) <= 4 * 32 * 400
 
 
+def test_near_vectors_of_one_id_and_infinities(spark):
+    """Another vector of an id that is a copy still joins what it is near to; infinite vectors join nothing."""
+    a, b, near_b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.2], [0.0, 1.0, 0.0, 0.25]
+    inf = [float("inf"), 0.0, 0.0, 1.0]
+    out = capfilter.near_duplicate_vectors(frame(spark, [(1, a), (5, a), (5, b), (9, near_b), (20, inf), (21, inf)])).collect()
+    assert {(r["vec_id"], r["kept_id"]) for r in out} == {(5, 1), (9, 1)}
+
+
 def test_near_vectors_at_the_edges(spark):
     v = [0.3, 0.1, 0.5, 0.2]
     out = capfilter.near_duplicate_vectors(crowded(spark, [(5, v), (3, v), (3, v), (9, [x * 2 for x in v]), (4, [-x for x in v])] + ODD + [(-7, [0.0] * 4)])).collect()
