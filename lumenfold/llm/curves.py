@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import text as T
 from .capfilter import unit_vectors
 from .scratch import Scratch
 
@@ -189,7 +190,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     asking = (F.col("id") % every) == 0
     wanted = source.where((F.col("c") == 1) & asking).select("id", F.col("id").alias("rep")).union(copies.where(asking).select("id", "rep"))
     source = source.select("id", "v")
-    keyed = source.mapInArrow(lambda it: _keys(it, curves, dims, bits, seed), "id bigint, curve int, dim int, key bigint")
+    keyed = source.mapInArrow(T.tidy(lambda it: _keys(it, curves, dims, bits, seed)), "id bigint, curve int, dim int, key bigint")
     ranged = scratch.save(keyed.repartitionByRange("curve", "dim", "key", "id").sortWithinPartitions("curve", "dim", "key", "id").withColumn("p", F.spark_partition_id()), "ranged")
     # One row for each partition and curve; from these a vector's block on the curve.
     counts = ranged.groupBy("curve", "dim", "p").count().orderBy("curve", "dim", "p").collect()
@@ -211,7 +212,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         some = asked[asked["v"].map(len) == d]
         queries[int(d)] = some["id"].to_numpy(np.int64), np.concatenate([u for _, u in unit_vectors(pa.array(some["v"].to_list()))])
     best = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "neighbour")
-    exact = source.mapInArrow(lambda it: _brute(it, queries, k), "id bigint, neighbour bigint, cosine double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "neighbour").toPandas()
+    exact = source.mapInArrow(T.tidy(lambda it: _brute(it, queries, k)), "id bigint, neighbour bigint, cosine double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "neighbour").toPandas()
     near = np.unique(np.concatenate((exact["id"], exact["neighbour"]))) if len(exact) else np.zeros(0, np.int64)
     # At most ``sample`` * (k + 1) ids.
     few = placed.join(F.broadcast(spark.createDataFrame([(int(i),) for i in near], "id bigint")), "id").select("id", "curve", "block").toPandas()
@@ -221,7 +222,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     looked, used, reach = cheapest_plan(apart, blocks, recall)
     if told is not None:
         told.append((looked, used, reach, blocks))
-    units = source.mapInArrow(_units, "id bigint, v array<double>")
+    units = source.mapInArrow(T.tidy(_units), "id bigint, v array<double>")
     own = placed.where(F.col("curve") < used)
     to = F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.col("block") + reach, F.lit(blocks - 1)))).alias("block")
     # More queries than one task takes come in parts, each of which meets the whole block.
@@ -230,7 +231,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     sent = own.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("curve", "dim", to, part, F.lit(False).alias("candidate"), "id")
     rows = own.select("curve", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("candidate"), "id")
     sent = sent.unionByName(rows).join(units, "id").select(F.xxhash64("curve", "dim", "block", "part").alias("g"), "candidate", "id", "v")
-    lists = sent.repartition("g").sortWithinPartitions("g", "candidate").mapInArrow(lambda it: _blocks(it, k), "id bigint, neighbour bigint, cosine double")
+    lists = sent.repartition("g").sortWithinPartitions("g", "candidate").mapInArrow(T.tidy(lambda it: _blocks(it, k)), "id bigint, neighbour bigint, cosine double")
     ranked = lists.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     ranked = ranked.select("id", "neighbour", "cosine", "rank")
     if not copies.isEmpty():

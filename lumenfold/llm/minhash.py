@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    sketches = scratch.save(source.mapInArrow(lambda it: _bands(it, n, bands, rows), "doc_id bigint, whole binary, bands array<bigint>"), "sketches")
+    sketches = scratch.save(source.mapInArrow(T.tidy(lambda it: _bands(it, n, bands, rows)), "doc_id bigint, whole binary, bands array<bigint>"), "sketches")
     copies = sketches.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     exact = sketches.select("doc_id", "whole").join(copies.where("c > 1").select("whole", "rep"), "whole").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "whole").where("a <> b")
     exact = scratch.save(exact, "exact")
@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.save(only(reps, "bucket", several, several.count()).distinct(), "shared")
     members = scratch.save(different_buckets(shared), "members")
     involved = scratch.save(members.select("doc_id").distinct(), "involved")
-    sets = scratch.save(only(source, "doc_id", involved, involved.count()).mapInArrow(lambda it: _sets(it, n), "doc_id bigint, grams array<bigint>"), "sets")
+    sets = scratch.save(only(source, "doc_id", involved, involved.count()).mapInArrow(T.tidy(lambda it: _sets(it, n)), "doc_id bigint, grams array<bigint>"), "sets")
     common = F.size(F.array_intersect("x", "y"))
 
     def alike(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

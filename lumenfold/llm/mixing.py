@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
 from .scratch import Scratch
 from .tokens import with_words
 
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, columns: Sequence[str] = ("source", "lang"), text_col:
     done, err, step, before = 0, np.inf, np.zeros(len(m)), np.inf
     for done in range(1, rounds + 1):
         at = m.copy()
-        sums = coded.mapInArrow(lambda it: _moments(it, len(columns), at), "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+        sums = coded.mapInArrow(T.tidy(lambda it: _moments(it, len(columns), at)), "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
         hess = np.zeros((len(m), len(m)))
         hess[sums["i"], sums["j"]] = sums["v"]
         total = hess.diagonal().sum() / len(columns)
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, columns: Sequence[str] = ("source", "lang"), text_col:
         raise ValueError(f"no rates meet these targets: shares are off by {err:.3g} after {done} iterations")
     multipliers = {c: {v: float(m[index[c, v]]) for v in values[c]} for c in columns}
     if budget is None:
-        least = coded.select(*[f"x{n}" for n in range(len(columns))]).mapInArrow(lambda it: _least(it, len(columns), m), "low double")
+        least = coded.select(*[f"x{n}" for n in range(len(columns))]).mapInArrow(T.tidy(lambda it: _least(it, len(columns), m)), "low double")
         low = least.agg(F.min("low")).first()[0]
         scale = math.exp(-low)
     else:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import text as T
 from .scratch import Scratch
 from .tokens import with_words
 
@@ -156,7 +157,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     state = isles.withColumn("elites", F.lit(None).cast("array<array<int>>"))
     for e in range(epochs):
         run = lambda it, e=e: _epoch(it, capacity, population, generations, seed + e)
-        state = scratch.save(state.repartition("problem", "island").mapInArrow(run, "problem bigint, island int, elites array<array<int>>, bins int, fitness double"), f"epoch{e}")
+        state = scratch.save(state.repartition("problem", "island").mapInArrow(T.tidy(run), "problem bigint, island int, elites array<array<int>>, bins int, fitness double"), f"epoch{e}")
         if e + 1 < epochs:
             # An island goes on with its own elite and that of the one before it.
             came = state.select("problem", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("elites", 1, 1).alias("came"))

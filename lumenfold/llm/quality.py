@@ -156,7 +156,7 @@ def sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
             x = _features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["i", "x"])
 
-    rows = some.mapInArrow(run, "i bigint, x array<float>").toPandas().sort_values("i", kind="stable")
+    rows = some.mapInArrow(T.tidy(run), "i bigint, x array<float>").toPandas().sort_values("i", kind="stable")
     return np.stack(rows["x"].to_list()).astype(float) if len(rows) else np.zeros((0, FEATURES))
 
 
@@ -183,4 +183,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 score[lo:hi] = np.where(np.diff(off) > 0, fitted.score(features(data, off)), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score >= threshold)], ["doc_id", "score", "keep"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id bigint, score double, keep boolean")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(T.tidy(run), "doc_id bigint, score double, keep boolean")

@@ -201,7 +201,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    found = source.mapInArrow(lambda it: _anchors(it, length, gram), "anchor bigint, content bigint, doc_id bigint, at int, n int")
+    found = source.mapInArrow(T.tidy(lambda it: _anchors(it, length, gram)), "anchor bigint, content bigint, doc_id bigint, at int, n int")
     # Every anchor's slices in order of their place; a lone slice goes no further.
     by_anchor = Window.partitionBy("anchor")
     by_content = Window.partitionBy("anchor", "content").orderBy("doc_id", "at")
@@ -211,9 +211,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = "doc_id = rep_doc and at = rep_at"
     mixed = marked.where("mixed")
     wanted = mixed.where(own).groupBy("doc_id").agg(F.collect_set("content").alias("contents"))
-    words = source.join(wanted, "doc_id").select("text", "contents").mapInArrow(lambda it: _fetch(it, length, gram), "anchor bigint, content bigint, words array<bigint>")
+    words = source.join(wanted, "doc_id").select("text", "contents").mapInArrow(T.tidy(lambda it: _fetch(it, length, gram)), "anchor bigint, content bigint, words array<bigint>")
     words = words.join(mixed.where(own).select("anchor", "content", "doc_id", "at").distinct(), ["anchor", "content"]).groupBy("anchor", "content").agg(F.first("words").alias("words"), F.first("doc_id").alias("doc_id"), F.first("at").alias("at"))
-    shared = words.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _search(it, length), "content bigint, offset int, first_doc bigint, first_at int")
+    shared = words.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(T.tidy(lambda it: _search(it, length)), "content bigint, offset int, first_doc bigint, first_at int")
     shared = scratch.save(shared, "shared")
     # A window is at its own first occurrence, at that of its slice's first copy, or at one found by the search.
     copies = marked.where(f"not ({own})").select("doc_id", "at", "n", F.col("rep_doc").alias("first_doc"), F.col("rep_at").alias("first_at"), "content", "mixed")
@@ -274,4 +274,4 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                     columns[names.index(chars_col)] = pa.array(chars, columns[names.index(chars_col)].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(T.tidy(run), docs.schema)

@@ -7,8 +7,9 @@ subtraction and one multiplication. ``Prefix`` does that modulo 2**64 for bytes,
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,22 @@ def digests(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
     return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a task's memory goes back to the system: a worker process lives on and would keep it beside the executor's own."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of at most ``limit`` bytes, or of one longer row; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -546,7 +546,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, id_col: str
         sums = [zlib.crc32(w[2].astype("<u2").tobytes()) for w in wait]
         return pa.RecordBatch.from_arrays([pa.array([w[0] for w in wait], pa.int64()), pa.array([w[1] for w in wait], pa.int32()), pa.array([len(w[2]) for w in wait], pa.int32()), pa.array(sums, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "block", "n_tokens", "checksum", "payload"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id bigint, block int, n_tokens int, checksum bigint, payload binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(T.tidy(run), "doc_id bigint, block int, n_tokens int, checksum bigint, payload binary")
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
@@ -561,4 +561,4 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
                     raise ValueError(f"checksum of document {doc}, block {k}")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], ["doc_id", "block", "ids"])
 
-    return blocks.select("doc_id", "block", "n_tokens", "checksum", "payload").mapInArrow(run, "doc_id bigint, block int, ids array<int>")
+    return blocks.select("doc_id", "block", "n_tokens", "checksum", "payload").mapInArrow(T.tidy(run), "doc_id bigint, block int, ids array<int>")

@@ -24,4 +24,4 @@ def with_words(df: DataFrame, text_col: str, keep: list[str], name: str = "token
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], [*keep, name])
 
     some = df.select(*keep, F.col(text_col).alias("__lf_text"))
-    return some.mapInArrow(run, S.StructType([*some.schema.fields[:-1], S.StructField(name, S.LongType())]))
+    return some.mapInArrow(T.tidy(run), S.StructType([*some.schema.fields[:-1], S.StructField(name, S.LongType())]))

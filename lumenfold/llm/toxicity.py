@@ -243,7 +243,7 @@ def learned_terms(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen = chosen.groupBy("i").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("i"), "i").limit(bound)
     # At most ``bound`` rows.
     some = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("t", "toxic")
-    pairs = some.mapInArrow(_contexts, "word string, h bigint, before bigint, toxic tinyint").groupBy("h", "before", "toxic").agg(F.max("word").alias("word"))
+    pairs = some.mapInArrow(T.tidy(_contexts), "word string, h bigint, before bigint, toxic tinyint").groupBy("h", "before", "toxic").agg(F.max("word").alias("word"))
     pairs = scratch.save(pairs, "contexts")
     total = {r["toxic"]: r["n"] for r in pairs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     found = pairs.groupBy("h").agg(F.max("word").alias("word"), F.sum(F.col("toxic").cast("bigint")).alias("a"), F.sum((F.col("toxic") == 0).cast("bigint")).alias("b"))
@@ -273,7 +273,7 @@ def toxic_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = [x for x in _score(batch.column(1), lex, window, near, reach) if x[1] >= threshold]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([s for _, s, _ in found], pa.float64()), pa.array([t for _, _, t in found], pa.list_(pa.string())), pa.array([True] * len(found), pa.bool_())], ["doc_id", "score", "terms", "rejected"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double, terms array<string>, rejected boolean")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(T.tidy(run), "doc_id bigint, score double, terms array<string>, rejected boolean")
 
 
 def drop_toxic(docs: DataFrame, text_col: str = "text", threshold: float = 1.0, lexicon: Mapping[str, float] = LEXICON, ordinary: frozenset[str] = ORDINARY, window: int = 50, near: int = 8, reach: int = 200) -> DataFrame:
@@ -288,4 +288,4 @@ def drop_toxic(docs: DataFrame, text_col: str = "text", threshold: float = 1.0,
             keep[[r for r, s, _ in _score(batch.column(at), lex, window, near, reach) if s >= threshold]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.tidy(run), docs.schema)
