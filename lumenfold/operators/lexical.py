@@ -1,4 +1,4 @@
-"""Lexical retrieval with BM25 over token arrays or a saved inverted index."""
+"""Lexical retrieval with BM25 over token arrays; ``postings`` has the same over a saved index."""
 
 from __future__ import annotations
 
@@ -46,17 +46,19 @@ class Corpus:
         return Corpus(rows, id_col, list(text_cols), segment_col)
 
     def words(self, fields: Sequence[str] | None = None) -> list[Column]:
+        if unknown := set(fields or ()) - set(self.text_cols):
+            raise ValueError(f"{sorted(unknown)[0]!r} is no Text field")
         return [F.col(f"_tokens_{c}") for c in fields or self.text_cols]
 
-    def frequency(self, term: str) -> Column:
-        return reduce(lambda a, b: a + b, [term_frequency(w, term) for w in self.words()])
+    def frequency(self, term: str, fields: Sequence[str] | None = None) -> Column:
+        return reduce(lambda a, b: a + b, [term_frequency(w, term) for w in self.words(fields)])
 
     def vocabulary(self, fields: Sequence[str] | None = None) -> DataFrame:
         """(term, df): documents of each term."""
         every = [self.rows.select(self.id_col, F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(w, F.array().cast("array<string>")) for w in self.words(fields)])))).alias("term"))]
         return every[0].groupBy("term").agg(F.count("*").alias("df"))
 
-    def scored(self, terms: Sequence[str], operator: str = "and", bm25: Bm25 = Bm25(), keep: Sequence[str] = (), where: Column | None = None) -> DataFrame:
+    def scored(self, terms: Sequence[str], operator: str = "and", bm25: Bm25 = Bm25(), keep: Sequence[str] = (), where: Column | None = None, fields: Sequence[str] | None = None) -> DataFrame:
         """(id, score, <keep>) of the rows with all ("and") or any ("or") of the terms; a term given twice counts twice.
 
         One aggregate row of statistics meets the scan by broadcast, so nothing of the corpus is shuffled. Terms beyond a few hundred (a wildcard's) are
@@ -70,14 +72,15 @@ class Corpus:
         names = {t: f"_tf{i}" for i, t in enumerate(weights)}
         segment = [self.segment_col] if self.segment_col else []
         used = dict.fromkeys([self.id_col, *keep, *segment])
-        slim = self.rows.select(*used, "dl", *[self.frequency(t).alias(n) for t, n in names.items()])
+        slim = self.rows.select(*used, "dl", *[self.frequency(t, fields).alias(n) for t, n in names.items()])
         found = self.rows if where is None else self.rows.where(where)
-        found = found.select(*used, "dl", *[self.frequency(t).alias(n) for t, n in names.items()])
+        found = found.select(*used, "dl", *[self.frequency(t, fields).alias(n) for t, n in names.items()])
         stats = [F.count("*").alias("_n"), F.avg("dl").alias("_avgdl"), *[F.sum((F.col(n) > 0).cast("bigint")).alias(f"_df{n}") for n in names.values()]]
         present = [F.col(n) > 0 for n in names.values()]
         found = found.where(reduce((lambda a, b: a & b) if operator == "and" else (lambda a, b: a | b), present))
         # One row (or one for each segment) of statistics.
-        joined = found.join(slim.groupBy(*segment).agg(*stats), segment) if segment else found.crossJoin(F.broadcast(slim.agg(*stats)))
+        per = slim.groupBy(*segment).agg(*stats).withColumnRenamed(self.segment_col, "_segment") if segment else None
+        joined = found.join(per, F.col(self.segment_col).eqNullSafe(F.col("_segment"))) if segment else found.crossJoin(F.broadcast(slim.agg(*stats)))
         score = reduce(lambda a, b: a + b, [F.lit(float(weights[t])) * bm25.score(F.col(n), F.col(f"_df{n}"), F.col("_n"), F.col("dl"), F.col("_avgdl")) for t, n in names.items()])
         return joined.select(self.id_col, score.alias("score"), *keep)
 
@@ -122,44 +125,3 @@ class Corpus:
         stats = F.broadcast(self.rows.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avgdl")))
         found = self.rows.where(where).select(self.id_col, "dl").crossJoin(stats)
         return found.select(self.id_col, bm25.score(F.lit(1), F.col("_n"), F.col("_n"), F.col("dl"), F.col("_avgdl")).alias("score"))
-
-
-@dataclass
-class InvertedIndex:
-    """Saved postings (term, id, tf, positions, dl), partitioned by a hash of the term, with one row of statistics."""
-
-    postings: DataFrame
-    stats: DataFrame
-    id_col: str
-    shards: int
-
-    @staticmethod
-    def write(corpus: Corpus, path: str, shards: int = 64) -> InvertedIndex:
-        """Builds the index once; a query then reads only the shards of its terms."""
-        words = [corpus.rows.select(corpus.id_col, "dl", F.lit(c).alias("field"), F.posexplode(w).alias("at", "term")) for c, w in zip(corpus.text_cols, corpus.words())]
-        every = reduce(lambda a, b: a.union(b), words)
-        post = every.groupBy("term", corpus.id_col, "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.struct("field", "at"))).alias("positions"))
-        post = post.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int"))
-        post.repartition("shard").sortWithinPartitions("shard", "term", corpus.id_col).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-        corpus.rows.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-        return InvertedIndex.read(corpus.rows.sparkSession, path, corpus.id_col, shards)
-
-    @staticmethod
-    def read(spark, path: str, id_col: str, shards: int = 64) -> InvertedIndex:
-        return InvertedIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), id_col, shards)
-
-    def lookup(self, terms: Sequence[str]) -> DataFrame:
-        """Postings of the terms: partition filters on their shards, then on the sorted term column."""
-        shards = [F.pmod(F.xxhash64(F.lit(t)), F.lit(self.shards)).cast("int") for t in dict.fromkeys(terms)]
-        return self.postings.where(F.col("shard").isin(*shards) & F.col("term").isin(*dict.fromkeys(terms)))
-
-    def scored(self, terms: Sequence[str], operator: str = "and", bm25: Bm25 = Bm25()) -> DataFrame:
-        """(id, score), as ``Corpus.scored``."""
-        weights = Counter(terms)
-        found = self.lookup(terms)
-        per = found.groupBy("term").agg(F.count("*").alias("df"))
-        weight = reduce(lambda w, t: w.when(F.col("term") == t, float(weights[t])), list(weights)[1:], F.when(F.col("term") == next(iter(weights)), float(weights[next(iter(weights))])))
-        # As many rows as the query has terms, and one.
-        scored = found.join(F.broadcast(per), "term").crossJoin(F.broadcast(self.stats))
-        scored = scored.groupBy(self.id_col).agg(F.sum(weight * bm25.score(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))).alias("score"), F.count("*").alias("_terms"))
-        return (scored.where(F.col("_terms") == len(weights)) if operator == "and" else scored).drop("_terms")

@@ -157,6 +157,10 @@ class ClusterIndex:
         centroids(members).write.mode("overwrite").parquet(f"{path}/centroids")
         return ClusterIndex(members, members.sparkSession.read.parquet(f"{path}/centroids"), self.id_col)
 
+    @staticmethod
+    def open(spark, path: str, id_col: str) -> ClusterIndex:
+        return ClusterIndex(spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/centroids"), id_col)
+
     def probed(self, query: Sequence[float], n_probe: int, per_segment: bool = False) -> DataFrame:
         """(cluster): the ``n_probe`` clusters with the least bound max(0, angle - radius), which no member is nearer than; by plain angle with ``per_segment``."""
         q = F.array(*[F.lit(float(x)) for x in query])
@@ -170,6 +174,24 @@ class ClusterIndex:
             found = found.join(where.select(F.col(self.id_col).alias("id")), "id", "left_semi")
         return exact_knn(found, "id", "v", query, k).withColumnRenamed("id", self.id_col)
 
+    def proven(self, query: Sequence[float], k: int = 10, n_probe: int = 16, where: DataFrame | None = None) -> DataFrame:
+        """(id, cosine) of the exact k nearest: probes are doubled until the clusters left out are all farther, by their bounds, than the k-th found."""
+        q = F.array(*[F.lit(float(x)) for x in query])
+        bound = F.greatest(F.lit(0.0), angle(F.col("centroid"), q) - F.col("radius"))
+        clusters = self.centroids.count()
+        while True:
+            found = self.knn(query, k, n_probe, where)
+            if n_probe >= clusters:
+                return found
+            rows = found.collect()  # k rows
+            if len(rows) == k:
+                farthest = float(np.arccos(np.clip(rows[-1]["cosine"], -1, 1)))
+                # As near as the k-th counts: it may have the lesser id.
+                needed = self.centroids.where(bound <= farthest + 1e-9).count()
+                if needed <= n_probe:
+                    return self.members.sparkSession.createDataFrame(rows, found.schema)
+            n_probe *= 2
+
     def insert(self, df: DataFrame, id_col: str, vector_col: str) -> ClusterIndex:
         """Adds rows to their nearest clusters; clusters above the bound are cut."""
         new = df.where(f"size({vector_col}) > 0").select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))

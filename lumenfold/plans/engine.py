@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.operators.lexical import Bm25, Corpus
+from lumenfold.operators.postings import IndexedCorpus
+from lumenfold.operators.vector import ClusterIndex
 from lumenfold.sources.readers import bulk_actions
 from lumenfold.sources.schema import ROLES, typed
 from lumenfold.sources.table import SnapshotTable
@@ -51,7 +53,7 @@ class Namespace:
         return self.table.patch(self._rows(docs), order)
 
     def bulk(self, lines: Sequence[str]) -> int:
-        """A bulk body: its whole documents, then its updates, each in the order given."""
+        """A bulk body: its whole documents, then its updates, each in the order given. See ``bulk_items`` for what came of each action."""
         whole, updates = bulk_actions(self.spark, list(lines))
         version = self.table.version()
         if not whole.isEmpty():
@@ -77,15 +79,39 @@ class Namespace:
 
     # -- reading
 
-    def corpus(self, version: int | None = None) -> Corpus:
+    def _texts(self) -> list[str]:
         text = [n for n, r in self.fields.items() if r == "Text"]
         if not text:
             raise ValueError("no Text field to search")
-        return Corpus.of(self.table.read(version), "id", text)
+        return text
+
+    def build_index(self) -> IndexedCorpus:
+        """Postings and statistics of the latest version, which searches of that version use from then on; other versions are searched by a scan."""
+        version = self.table.version()
+        return IndexedCorpus.write(self.table.read(version), "id", self._texts(), f"{self.table.path}/index/{version:010d}")
+
+    def build_clusters(self, field: str) -> ClusterIndex:
+        """Clusters of a vector field of the latest version, for requests with ``num_candidates``."""
+        version = self.table.version()
+        rows = self.table.read(version).select("id", field)
+        return ClusterIndex.build(rows, "id", field).save(f"{self.table.path}/clusters/{version:010d}-{field}")
+
+    def corpus(self, version: int | None = None) -> Corpus | IndexedCorpus:
+        version = self.table.version() if version is None else version
+        path = f"{self.table.path}/index/{version:010d}"
+        if self.table.has(f"{path}/totals/_SUCCESS"):
+            return IndexedCorpus(self.table.read(version), "id", self._texts(), path)
+        return Corpus.of(self.table.read(version), "id", self._texts())
 
     def search(self, request: Request | Mapping, fields: Sequence[str] | None = None) -> Result:
         """A request, or a body of the JSON query DSL."""
-        return search(self.corpus(), request if isinstance(request, Request) else request_of(request), fields)
+        request = request if isinstance(request, Request) else request_of(request)
+        clusters = None
+        if request.knn and request.knn.get("num_candidates"):
+            path = f"{self.table.path}/clusters/{self.table.version():010d}-{request.knn['field']}"
+            if self.table.has(f"{path}/centroids/_SUCCESS"):
+                clusters = ClusterIndex.open(self.spark, path, "id")
+        return search(self.corpus(), request, fields, clusters)
 
     def query(self, q: str, max_results: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """The page of a plain text query, all terms required."""
@@ -136,9 +162,9 @@ class Engine:
         return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()) if fs.exists(path) else []
 
     def stats(self) -> DataFrame:
-        """(namespace, documents, segments, version) as of the manifests; rows count as written, before deletes."""
+        """(namespace, documents, segments, version) of the latest versions; replaced and deleted documents don't count."""
         out = []
         for n in self.names():
-            m = SnapshotTable(self.spark, f"{self.root}/{n}", ["id"], T.StructType()).manifest()
-            out.append((n, sum(s["rows"] for s in m["segments"]), len(m["segments"]), m["version"]))
+            s = SnapshotTable(self.spark, f"{self.root}/{n}", ["id"], T.StructType([T.StructField("id", T.StringType())])).stats()
+            out.append((n, s["documents"], s["segments"], s["version"]))
         return self.spark.createDataFrame(out, "namespace string, documents bigint, segments int, version int")

@@ -12,6 +12,8 @@ from lumenfold.functions.text import highlight, query_terms
 from lumenfold.operators import aggs, paging, vector
 from lumenfold.operators.filters import predicate
 from lumenfold.operators.lexical import Bm25, Corpus
+from lumenfold.operators.postings import IndexedCorpus
+from lumenfold.operators.vector import ClusterIndex
 
 
 @dataclass
@@ -33,6 +35,8 @@ class Request:
     exact_total_hits: bool = False
     total_hits_cap: int = 10_000
     operator: str = "and"
+    #: Text fields that ``query_text`` is looked for in; all by default.
+    fields: Sequence[str] | None = None
 
 
 @dataclass
@@ -45,8 +49,11 @@ class Result:
     hits: DataFrame
 
 
-def matches(corpus: Corpus, request: Request) -> DataFrame:
-    """(id, score) of every hit. A phrase takes precedence over a wildcard, that over the text; a request without any of these, a filter or knn has no hits."""
+def matches(corpus: Corpus | IndexedCorpus, request: Request, clusters: ClusterIndex | None = None) -> DataFrame:
+    """(id, score) of every hit. A phrase takes precedence over a wildcard, that over the text; a request without any of these, a filter or knn has no hits.
+
+    ``clusters`` answers knn with ``num_candidates``; without it, or without that number, all vectors are compared.
+    """
     rows = corpus.rows
     where = predicate(rows, request.filter) if request.filter is not None else None
     text = query_terms(request.query_text)
@@ -58,13 +65,17 @@ def matches(corpus: Corpus, request: Request) -> DataFrame:
         name = request.wildcard.get("field")
         lexical = corpus.wildcard(request.wildcard["pattern"], [name] if name else None, request.wildcard.get("case_insensitive", True), request.bm25, where)
     elif text:
-        lexical = corpus.scored(text, request.operator, request.bm25, where=where)
+        lexical = corpus.scored(text, request.operator, request.bm25, where=where, fields=request.fields)
     if request.knn:
         spec = request.knn
         both = where if where is not None else F.lit(True)
         if spec.get("filter") is not None:
             both = both & predicate(rows, spec["filter"])
-        near = vector.exact_knn(rows, corpus.id_col, spec["field"], spec["vector"], spec.get("k", 10), both)
+        if clusters is not None and spec.get("num_candidates"):
+            allowed = rows.where(both).select(corpus.id_col) if where is not None or spec.get("filter") is not None else None
+            near = clusters.knn(spec["vector"], spec.get("k", 10), vector.probe_budget(spec["num_candidates"], clusters.centroids.count()), allowed).withColumnRenamed(clusters.id_col, corpus.id_col)
+        else:
+            near = vector.exact_knn(rows, corpus.id_col, spec["field"], spec["vector"], spec.get("k", 10), both)
         if lexical is not None:
             return vector.hybrid(lexical, near, corpus.id_col)
         return near.select(corpus.id_col, vector.pure_score(F.col("cosine")).alias("score"))
@@ -75,19 +86,29 @@ def matches(corpus: Corpus, request: Request) -> DataFrame:
     return rows.where("false").select(corpus.id_col, F.lit(0.0).alias("score"))
 
 
-def search(corpus: Corpus, request: Request, fields: Sequence[str] | None = None) -> Result:
-    """The page with ``fields`` (all of the table's own by default), totals and aggregations of a request."""
+#: Rows of a page up to which its ids become a filter of the scan that fetches its fields.
+FETCHED = 1000
+
+
+def search(corpus: Corpus | IndexedCorpus, request: Request, fields: Sequence[str] | None = None, clusters: ClusterIndex | None = None) -> Result:
+    """The page with ``fields`` (all of the table's own by default), totals and aggregations of a request.
+
+    A page of up to FETCHED rows is found here and now, and its fields are read by id; totals and aggregations run when they are asked for.
+    """
     own = [c for c in corpus.rows.columns if not c.startswith("_tokens_") and c not in ("dl", corpus.id_col)]
     fields = list(fields) if fields is not None else own
-    hits = matches(corpus, request)
+    hits = matches(corpus, request, clusters)
     sorted_by = [f for f, _ in request.sort or [] if f not in ("_score", "_id")]
     keyed = hits.join(corpus.rows.select(corpus.id_col, *sorted_by), corpus.id_col) if sorted_by else hits
     keys = paging.sort_keys(keyed, request.sort, corpus.id_col, mode=request.sort_mode)
-    page = paging.page(keyed, keys, request.max_results, request.offset, request.search_after)
-    # Fields are fetched for the page alone, which has max_results rows.
-    page = page.select(corpus.id_col, "score")
+    page = paging.page(keyed, keys, request.max_results, request.offset, request.search_after).select(corpus.id_col, "score")
     marked = [request.highlight["field"]] if request.highlight else []
-    full = corpus.rows.select(corpus.id_col, *dict.fromkeys([*fields, *sorted_by, *marked])).join(F.broadcast(page), corpus.id_col)
+    full = corpus.rows.select(corpus.id_col, *dict.fromkeys([*fields, *sorted_by, *marked]))
+    if request.max_results <= FETCHED:
+        rows = page.collect()
+        page = corpus.rows.sparkSession.createDataFrame(rows, page.schema)
+        full = full.where(F.col(corpus.id_col).isin([r[0] for r in rows]))
+    full = full.join(F.broadcast(page), corpus.id_col)  # max_results rows
     full = paging.ordered(full, paging.sort_keys(full, request.sort, corpus.id_col, mode=request.sort_mode))
     shown = full.select(corpus.id_col, "score", *fields)
     if request.highlight:

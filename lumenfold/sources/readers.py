@@ -38,31 +38,40 @@ def parse_document(line: str, shorthand: bool | None = None) -> dict:
 
 
 def parse_bulk(lines: list[str]) -> list[dict]:
-    """Actions of a bulk body: (op, id, fields). index, create and update take the next line; delete is refused, as are unknown actions."""
+    """Actions of a bulk body in order: (op, id, index, fields, status). index, create and update take the next line.
+
+    A delete has status 501 and isn't applied, while the rest of the body is; other actions have 200, or 201 for create. A line
+    that is no action, or an unknown one, raises.
+    """
     out, it = [], iter([x for x in lines if x.strip()])
     for line in it:
         head = json.loads(line)
-        if len(head) != 1:
+        if not isinstance(head, dict) or len(head) != 1:
             raise ValueError(f"one action a line: {line[:80]}")
         (op, meta), = head.items()
-        if op == "delete":
-            raise NotImplementedError("delete in a bulk stream; delete by query instead")
-        if op not in ("index", "create", "update"):
+        if op not in ("index", "create", "update", "delete"):
             raise ValueError(f"unknown action {op!r}")
-        body = next(it, None)
-        if body is None:
-            raise ValueError(f"no document after {line[:80]}")
-        doc = json.loads(body)
-        if op == "update":
-            doc = doc.get("doc", {})
-        fields = [f for f in (field_of(k, v) for k, v in doc.items()) if f]
-        out.append({"op": op, "id": str(meta["_id"]), "fields": fields})
+        action = {"op": op, "id": str(meta["_id"]), "index": meta.get("_index"), "fields": [], "status": {"delete": 501, "create": 201}.get(op, 200)}
+        if op != "delete":
+            body = next(it, None)
+            if body is None:
+                raise ValueError(f"no document after {line[:80]}")
+            doc = json.loads(body)
+            if op == "update":
+                doc = doc.get("doc", {})
+            action["fields"] = [f for f in (field_of(k, v) for k, v in doc.items()) if f]
+        out.append(action)
     return out
 
 
+def bulk_items(lines: list[str]) -> list[dict]:
+    """One item for each action of a bulk body, in the response's shape."""
+    return [{a["op"]: {"_id": a["id"], "status": a["status"]} | ({"_index": a["index"]} if a["index"] else {}) | ({"error": "delete by query instead"} if a["status"] == 501 else {})} for a in parse_bulk(lines)]
+
+
 def bulk_actions(spark: SparkSession, lines: list[str]) -> tuple[DataFrame, DataFrame]:
     """(upserts, patches) of a bulk body, each (id, fields, seq) in the order given."""
-    rows = [(k, a["op"], a["id"], a["fields"]) for k, a in enumerate(parse_bulk(lines))]
+    rows = [(k, a["op"], a["id"], a["fields"]) for k, a in enumerate(parse_bulk(lines)) if a["status"] != 501]
     df = spark.createDataFrame(rows, "seq int, op string, id string, fields array<struct<name: string, field_type: string, value: string>>")
     return df.where("op <> 'update'").drop("op"), df.where("op = 'update'").drop("op")
 

@@ -40,6 +40,19 @@ def test_neighbours_in_a_namespace(spark, tmp_path):
     assert [r["id"] for r in hits] == ["a"] and hits[0]["score"] == pytest.approx(19.95, abs=0.01)
 
 
+def test_searches_use_what_was_built_for_their_version(spark, tmp_path):
+    ns = Engine(spark, str(tmp_path)).namespace("v", FIELDS)
+    ns.index(spark.createDataFrame([(f"d{i}", "red fox" if i % 2 else "dog", [float(i), 1.0]) for i in range(40)], "id string, title string, v array<float>"))
+    plain = [tuple(r)[:2] for r in ns.query("fox", 40).collect()]
+    ns.build_index()
+    ns.build_clusters("v")
+    assert type(ns.corpus()).__name__ == "IndexedCorpus" and [tuple(r)[:2] for r in ns.query("fox", 40).collect()] == plain
+    body = {"knn": {"field": "v", "query_vector": [1.0, 0.5], "k": 3, "num_candidates": 5}}
+    assert [r["id"] for r in ns.search(body).page.collect()] == ["d2", "d3", "d4"]
+    ns.delete({"term": {"id": "d1"}})
+    assert type(ns.corpus()).__name__ == "Corpus" and len(ns.query("fox", 40).collect()) == len(plain) - 1
+
+
 def test_bad_names_and_roles(spark, tmp_path):
     with pytest.raises(ValueError):
         Engine(spark, str(tmp_path)).namespace("../x", FIELDS)

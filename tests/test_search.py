@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import highlight, query_terms, tokens
 from lumenfold.operators import aggs, paging
 from lumenfold.operators.filters import FilterError, predicate
-from lumenfold.operators.lexical import Corpus, InvertedIndex
+from lumenfold.operators.lexical import Corpus
+from lumenfold.operators.postings import IndexedCorpus
 from lumenfold.plans.dsl import UnsupportedQuery, request_of, response, script_values
 from lumenfold.plans.search import Request, matches, search
 
@@ -32,14 +33,32 @@ def test_and_needs_every_term_and_or_any(spark):
         c.scored(["a"], "xor")
 
 
-def test_inverted_index_scores_like_the_scan(spark, tmp_path):
-    n = [("alpha " * (i % 7 + 1) + "x" + (" " + "beta " * (i % 5 + 1) if i % 3 else "") + (" gamma " if i % 4 == 0 else "") + " pad" * (i % 11)) for i in range(60)]
-    c = corpus(spark, n)
-    index = InvertedIndex.write(c, str(tmp_path / "index"), 8)
-    for op in ("and", "or"):
-        a = {r["id"]: round(r["score"], 9) for r in c.scored(["alpha", "beta", "gamma"], op).collect()}
-        b = {r["id"]: round(r["score"], 9) for r in index.scored(["alpha", "beta", "gamma"], op).collect()}
-        assert a == b and a
+def scores(df):
+    return {r[0]: round(r["score"], 9) for r in df.collect()}
+
+
+def test_saved_index_answers_like_the_scan(spark, tmp_path, monkeypatch):
+    """Two text fields, filters, all kinds of queries, and nulls."""
+    n = [(i, ("alpha " * (i % 7 + 1) + "x" + (" " + "beta " * (i % 5 + 1) if i % 3 else "") + (" gamma " if i % 4 == 0 else "") + " pad" * (i % 11)) if i != 9 else None, "beta alpha" if i % 2 else "Gamma, alpha beta", i % 6) for i in range(60)]
+    df = spark.createDataFrame(n + [(100, "", None, 1)], "id int, a string, b string, k int")
+    c, index = Corpus.of(df, "id", ["a", "b"]), IndexedCorpus.write(df, "id", ["a", "b"], str(tmp_path / "index"))
+    where = F.col("k") > 2
+    for terms, op, w, fields in ((["alpha"], "and", None, None), (["alpha", "beta", "gamma"], "and", where, ["a"]), (["alpha", "beta", "gamma"], "or", where, None), (["beta", "beta", "nowhere"], "or", None, ["b"]), (["beta", "nowhere"], "and", None, None), ([], "or", None, None)):
+        assert scores(c.scored(terms, op, where=w, fields=fields)) == scores(index.scored(terms, op, where=w, fields=fields))
+    for slop, w, fields in ((0, where, None), (1, None, ["b"])):
+        assert scores(c.phrase(["beta", "alpha"], slop, fields, where=w)) == scores(index.phrase(["beta", "alpha"], slop, fields, where=w))
+    for fields in (None, ["b"]):
+        assert scores(c.wildcard("?a*", fields)) == scores(index.wildcard("?a*", fields))
+    assert scores(c.phrase(["alpha", "x", "beta"])) == scores(index.phrase(["alpha", "x", "beta"])) != {}
+    assert scores(c.filtered(where)) == scores(index.filtered(where))
+    bounds = index.bounds(["alpha", "beta"])
+    assert all(max(scores(index.scored([t])).values()) <= bounds[t] + 1e-9 for t in bounds)
+    monkeypatch.setattr("lumenfold.operators.postings.LISTED", 1)
+    assert scores(c.wildcard("*a*")) == scores(index.wildcard("*a*"))
+    with pytest.raises(ValueError):
+        index.scored(["x"], fields=["k"])
+    empty = IndexedCorpus.write(df.where("false"), "id", ["a"], str(tmp_path / "empty"))
+    assert scores(empty.scored(["alpha"])) == scores(empty.phrase(["alpha"])) == scores(empty.filtered(F.lit(True))) == {}
 
 
 def test_phrase_order_slop_and_boost(spark):
@@ -150,6 +169,20 @@ def test_scripts(spark):
         script_values({"source": "ctx._source.a += 1"})
 
 
+def test_dsl_keeps_the_structure_of_nested_bools(spark):
+    df = spark.createDataFrame([(f"d{i}", "fox", a, b) for i, (a, b) in enumerate([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)])], "id string, content string, a int, b int")
+    either = lambda f, *v: {"bool": {"should": [{"term": {f: x}} for x in v]}}
+    body = {"query": {"bool": {"must": [{"match": {"content": "fox"}}, either("a", 1, 2), either("b", 2)], "must_not": [{"bool": {"must": [{"term": {"a": 2}}, {"term": {"b": 2}}]}}]}}}
+    c = Corpus.of(df, "id", ["content"])
+    assert ids(matches(c, request_of(body))) == ["d1"]
+    assert ids(matches(c, request_of({"query": {"bool": {"must": [either("a", 1), either("b", 1)]}}}))) == ["d0"]
+    with pytest.raises(ValueError):
+        matches(c, request_of({"query": {"match": {"a": "fox"}}}))
+    for clause in ({"match": {"content": {"query": "fox", "fuzziness": 1}}}, {"multi_match": {"query": "fox", "fields": ["content^2"]}}, {"function_score": {"query": {"match_all": {}}, "functions": []}}, {"bool": {"musty": []}}):
+        with pytest.raises(UnsupportedQuery):
+            request_of({"query": clause})
+
+
 def test_dsl_refuses_clauses_it_would_drop():
     text, phrase, glob = {"match": {"content": "fox"}}, {"match_phrase": {"content": "red fox"}}, {"wildcard": {"content": "f*"}}
     near = {"knn": {"v": {"vector": [1.0]}}}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators.vector import ClusterIndex, _assign, exact_knn, probe_budget, with_cosine
-from lumenfold.sources.readers import bulk_actions, read_jsonl, read_vector_shards
+from lumenfold.sources.readers import bulk_actions, bulk_items, read_jsonl, read_vector_shards
 from lumenfold.sources.schema import field_of, infer_roles, native, typed
 from lumenfold.sources.table import Conflict, SnapshotTable
 from lumenfold.streaming.ingest import event_counts, ingest, stream_parquet
@@ -48,6 +48,48 @@ def test_second_writer_gets_a_conflict(spark, tmp_path):
         t.rebuild_manifest()
 
 
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    make = lambda: SnapshotTable(spark, str(tmp_path / "t"), ["id"], spark.createDataFrame([], SCHEMA).schema)
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda i: make().upsert(spark.createDataFrame([(i, "w", "x"), (99, f"w{i}", "x")], SCHEMA)), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4]
+    got = rows(make())
+    assert [r[0] for r in got] == [0, 1, 2, 3, 99] and len(make()._list(str(tmp_path / "t/versions"))) == 4
+
+
+def test_patches_of_one_key_are_folded(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), ["id"], spark.createDataFrame([], SCHEMA).schema)
+    t.upsert(spark.createDataFrame([(1, "a", "b")], SCHEMA))
+    t.patch(spark.createDataFrame([(1, None, "second", 2), (1, "first", "first", 1), (7, "new", None, 1)], SCHEMA + ", o int"), "o")
+    assert rows(t) == [(1, "first", "second"), (7, "new", None)]
+    t.patch(spark.createDataFrame([(1, "x", None), (1, None, "y"), (1, "z", None)], SCHEMA).coalesce(1))
+    assert rows(t)[0] == (1, "z", "y")
+    t.upsert(spark.createDataFrame([(1, "p", "p"), (1, "q", "q")], SCHEMA).coalesce(1))
+    assert rows(t)[0] == (1, "q", "q")
+
+
+def test_merges_by_size_retire_deletes_and_survive_an_import(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), ["id"], spark.createDataFrame([], SCHEMA).schema)
+    for i in range(4):
+        t.upsert(spark.createDataFrame([(i, "a", "b"), (50, f"v{i}", "b")], SCHEMA))
+    t.delete_by_query({"term": {"id": 2}})
+    before = rows(t)
+    assert len(t.merge_inputs()) == 4 and t.merge_inputs(max_bytes=1) == [] and t.needs_compaction(trigger=4)
+    t.compact(max_inputs=2)
+    assert rows(t) == before and len(t.manifest()["segments"]) == 3
+    each = max(s["bytes"] for s in t.manifest()["segments"])
+    t.compact(full=True, max_bytes=2 * each)
+    assert rows(t) == before and len(t.manifest()["segments"]) == 2 and t.manifest()["deletes"] == []
+    t.rebuild_manifest(overwrite=True)
+    assert rows(t) == before
+    t.vacuum()
+    assert rows(t) == before and t.removable() == []
+    t.replace_all(spark.createDataFrame([(5, "only", "x")], SCHEMA))
+    assert rows(t) == [(5, "only", "x")]
+
+
 def test_stream_replaces_by_key(spark, tmp_path):
     a = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], SCHEMA)
     a.write.parquet(str(tmp_path / "in"))
@@ -69,8 +111,11 @@ def test_json_lines_bulk_and_shards(spark, tmp_path):
     assert [tuple(r)[:5] for r in df.orderBy("id").collect()] == [("1", "x", 2, 1.5, True), ("2", "y", None, None, None)]
     up, patch = bulk_actions(spark, [json.dumps(x) for x in ({"index": {"_id": "1"}}, {"a": 1}, {"update": {"_id": "2"}}, {"doc": {"a": 2}})])
     assert (up.count(), patch.count()) == (1, 1)
-    with pytest.raises(NotImplementedError):
-        bulk_actions(spark, ['{"delete": {"_id": "1"}}'])
+    body = ['{"delete": {"_id": "1"}}', '{"create": {"_id": "2", "_index": "x"}}', '{"a": 1}']
+    assert bulk_items(body) == [{"delete": {"_id": "1", "status": 501, "error": "delete by query instead"}}, {"create": {"_id": "2", "status": 201, "_index": "x"}}]
+    assert [r["id"] for r in bulk_actions(spark, body)[0].collect()] == ["2"]
+    with pytest.raises(ValueError):
+        bulk_actions(spark, ['{"merge": {"_id": "1"}}'])
     np.arange(8, dtype="<f4").tofile(tmp_path / "emb-0.f32")
     (tmp_path / "emb-0.ids").write_text("p\nq\n")
     got = {r["id"]: r["embedding"] for r in read_vector_shards(spark, str(tmp_path / "*.f32"), str(tmp_path / "*.ids"), 4).collect()}
@@ -99,6 +144,9 @@ def test_cluster_index_recall_insert_delete(spark, tmp_path):
     df = spark.createDataFrame(points, "id int, v array<double>")
     index = ClusterIndex.build(df, "id", "v").save(str(tmp_path / "i"))
     assert index.stats().first()["most"] <= 128
+    for q in range(3):
+        want = [r["id"] for r in exact_knn(df, "id", "v", points[q][1], 10).collect()]
+        assert [r["id"] for r in index.proven(points[q][1], 10, 1).collect()] == want
     hit = 0
     for q in range(5):
         exact = {r["id"] for r in exact_knn(df, "id", "v", points[q][1], 10).collect()}
