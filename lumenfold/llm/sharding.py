@@ -8,16 +8,19 @@ corpus, are needed to check capacities exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import text as T
 from .scratch import Scratch
 from .tokens import with_words
 
-#: Running totals (8 bytes each) that the driver checks capacities on at once.
+#: Running totals (8 bytes each) that the driver checks capacities on at once; where more are near possible cuts, these are narrowed down first.
 MAX_BOUNDARIES = 20_000_000
 
 
@@ -87,16 +90,61 @@ def minimax_shards(docs: DataFrame, shards: int = 64, group_col: str = "doc_id",
             spans[-1][1] = max(b, spans[-1][1])
         elif a < whole:
             spans.append([a, b])
-    near = F.lit(False)
-    for a, b in spans:
-        near = near | F.col("total").between(a, b)
-    wanted = running.where((F.col("size") > 0) & (near | (F.col("total") == whole))).select("total")
-    if (n := wanted.count()) > max_boundaries:
-        raise ValueError(f"{n} boundaries to check; the largest group is too large for {shards} shards, or raise max_boundaries")
+    scan = running.where("size > 0")
+    wanted = _within(scan, spans, whole)
+    if wanted.count() > max_boundaries:
+        low, high, spans = _narrowed(scan, int(low), int(high), int(whole), shards, max(shards, max_boundaries // 4))
+        wanted = _within(scan, spans, whole)
+        if (n := wanted.count()) > max_boundaries:
+            raise ValueError(f"{n} boundaries to check; raise max_boundaries or ask for fewer than {shards} shards")
     totals = np.sort(wanted.toPandas()["total"].to_numpy(np.int64))
     capacity, cuts = smallest_capacity(totals, int(low), int(high), shards)
     ends = np.array(cuts, np.int64)
-    frame = pd.DataFrame({"shard": np.arange(len(ends), dtype=np.int32), "from": np.concatenate(([-1], ends[:-1])), "to": ends})
-    table = docs.sparkSession.createDataFrame(frame, "shard int, from bigint, to bigint")
-    # At most ``shards`` rows.
-    return running.join(F.broadcast(table), (F.col("total") > F.col("from")) & (F.col("total") <= F.col("to"))).select("group", "size", "shard", F.lit(capacity).alias("capacity"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = np.searchsorted(ends, batch.column(2).to_numpy(zero_copy_only=False)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard), pa.array(np.full(len(shard), capacity))], ["group", "size", "shard", "capacity"])
+
+    kind = running.schema["group"].dataType.simpleString()
+    return running.select("group", "size", "total").mapInArrow(T.tidy(place), f"group {kind}, size bigint, shard int, capacity bigint")
+
+
+def _within(scan: DataFrame, spans: list[list[int]], whole: int) -> DataFrame:
+    """The running totals that lie in any of the (ascending, disjoint) spans, and the last."""
+    starts, ends = np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(0).to_numpy(zero_copy_only=False)
+            k = np.searchsorted(starts, total, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(total[((k >= 0) & (total <= ends[k])) | (total == whole)])], ["total"])
+
+    return scan.select("total").mapInArrow(T.tidy(run), "total bigint")
+
+
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _narrowed(scan: DataFrame, low: int, high: int, whole: int, shards: int, pieces: int) -> tuple[int, int, list[list[int]]]:
+    """Bounds of the least capacity, and spans of the cuts of all capacities between, from the boundaries around each of ``pieces`` equal steps.
+
+    Left out between two kept boundaries are only stretches below one step ``g``. So capacities that do with the kept boundaries do, and those that do
+    with all do with the kept ones and g more; a cut is at least where the kept boundaries put it, and below where they put it with g more, plus g.
+    """
+    g = max(1, whole // pieces)
+    crossing = scan.where(F.expr(f"total div {g} > (total - size) div {g}"))
+    rows = crossing.select("total", (F.col("total") - F.col("size")).alias("before")).toPandas()
+    kept = np.unique(np.concatenate((rows["total"].to_numpy(np.int64), rows["before"].to_numpy(np.int64), [whole])))
+    kept = kept[kept > 0]
+    best, _ = smallest_capacity(kept, low, high + g, shards)
+    low, high = max(low, best - g), min(high, best)
+    reach = lambda c: (greedy_cuts(kept, c, 1 << 40) or []) + [whole] * shards
+    return low, high, _merged([[a, min(whole, b + g)] for a, b in zip(reach(low)[:shards], reach(high + g)[:shards])])

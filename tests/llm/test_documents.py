@@ -547,6 +547,15 @@ def test_shards_are_minimax(spark, shards):
     assert max(load.values()) == rows[0]["capacity"] == minimax([r["size"] for r in rows], shards)
 
 
+@pytest.mark.parametrize("shards", [2, 5, 9])
+def test_shards_with_more_boundaries_than_the_driver_takes(spark, shards):
+    """One group is far above the mean shard, so cuts may fall almost anywhere."""
+    rng = random.Random(shards)
+    pairs = [(i, "w " * (1500 if i == 170 else rng.randrange(0, 30))) for i in range(300)]
+    plain, narrowed = (sorted(map(tuple, sharding.minimax_shards(texts(spark, pairs), shards, max_boundaries=m).collect())) for m in (10**6, 240))
+    assert plain == narrowed and plain[0][3] == minimax([len(t.split()) for _, t in pairs], shards)
+
+
 def test_shards_at_the_edges(spark):
     docs = texts(spark, [(None, "a b"), (1, None), (2, ""), (3, "x"), (3, "y z")])
     got = [tuple(r) for r in sharding.minimax_shards(docs, 2).orderBy("group").collect()]

@@ -228,6 +228,33 @@ def test_prior_and_nonnegative_risk():
         assert (model.score(good[5000:]) > 0.5).mean() > 0.9 and (model.score(bad[5000:]) < 0.5).mean() > 0.8
 
 
+def test_risk_is_at_its_minimum_over_all_unlabelled_rows(spark):
+    """The fitted weights against the risk written out anew: no small change of them lowers it. The start comes from a tenth of the rows, which differ from the rest."""
+    rng = np.random.default_rng(4)
+    k = quality.FEATURES
+    positive = rng.normal(0.1, 1, (2000, k))
+    rows = np.concatenate((rng.normal(0.1, 1, (400, k)), rng.normal(-0.1, 1, (400, k)), rng.normal(0.1, 1, (3200, k)), rng.normal(-0.1, 1.2, (4000, k)))).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(x.tolist(),) for x in rows], "x array<float>").repartition(3)
+    decay = 1e-3
+    one, other = (quality.train(positive, rows[:800], u, 0.3, decay=decay, passes=12) for u in (quality.Unlabelled(table), quality.Unlabelled(rows)))
+    assert np.allclose(one.weights, other.weights, atol=1e-6) and np.allclose(one.mean, np.concatenate((positive, rows)).mean(0))
+
+    def risk(w, b):
+        z = lambda x: quality.expand((x - one.mean) / one.scale) @ w + b
+        p, u = z(positive), z(rows)
+        plus = lambda v: np.log1p(np.exp(-np.abs(v))) + np.maximum(v, 0)
+        return 0.3 * plus(-p).mean() + max(0.0, plus(u).mean() - 0.3 * plus(p).mean()) + decay / 2 * (w @ w)
+
+    least = risk(one.weights, one.bias)
+    for _ in range(40):
+        d = rng.standard_normal(2 * k + 1)
+        for size in (0.02, -0.02, 0.3):
+            e = size * d / np.linalg.norm(d)
+            assert risk(one.weights + e[:-1], one.bias + e[-1]) >= least - 1e-7
+    start = quality.train(positive, rows[:800], None, 0.3, decay=decay)
+    assert risk(start.weights, start.bias) > least
+
+
 def test_quality_on_held_out_labels(spark):
     """The model sees labels of one half; accuracy is measured on the other."""
     d = "/root/testdata/sf0.1"
