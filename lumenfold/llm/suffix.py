@@ -11,6 +11,7 @@ first, interval by interval, which sets common prefix lengths in increasing orde
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ U = np.uint64
 #: Words of slices that one transform is built over.
 SYMBOLS = 1_000_000
 UNSET = 1 << 30
+#: Differing slices of an anchor that are searched in one task.
+CROWD = 4096
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
@@ -188,7 +191,19 @@ def _search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield flush(held)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 30) -> DataFrame:
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The windows of slices (anchor, content, words, doc_id, at, ...), each with a digest and its place."""
+    for batch in batches:
+        content, doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3, 4))
+        size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        raw, begin = memoryview(batch.column(2).flatten().to_numpy(zero_copy_only=False).tobytes()), np.cumsum(size) - size
+        n = size - length + 1
+        owner, offset = np.repeat(np.arange(len(n)), n), T.ragged(np.zeros(len(n), np.int64), n)
+        keys = [hashlib.blake2b(raw[8 * i : 8 * (i + length)], digest_size=16).digest() for i in (begin[owner] + offset).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(content[owner]), pa.array(offset.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(doc[owner]), pa.array((at[owner] + offset).astype(np.int32))], ["content", "offset", "key", "doc_id", "at"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 30, crowd: int = CROWD) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, first_start_word): the passages whose every window of ``length`` words occurred before.
 
     Words are separated by ASCII white space and control characters and compared byte by byte. The first
@@ -196,27 +211,40 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is a longest run of windows whose first occurrences follow one another in one document, so rows of a
     document may overlap by up to ``length`` - 1 words. Texts with fewer than ``length`` words, empty and null
     ones have no rows; null ids are left out. Rows with the same id count as the same document, and a
-    window at the same place of each as the same occurrence. Other columns are ignored.
+    window at the same place of each as the same occurrence. Other columns are ignored. An empty table gives no rows. ``crowd`` bounds what one task searches and
+    changes no result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    found = source.mapInArrow(T.tidy(lambda it: _anchors(it, length, gram)), "anchor bigint, content bigint, doc_id bigint, at int, n int")
-    # Every anchor's slices in order of their place; a lone slice goes no further.
-    by_anchor = Window.partitionBy("anchor")
-    by_content = Window.partitionBy("anchor", "content").orderBy("doc_id", "at")
-    marked = found.withColumn("total", F.count(F.lit(1)).over(by_anchor)).where("total > 1")
-    marked = marked.select("anchor", "content", "doc_id", "at", "n", "total", F.first(F.struct("doc_id", "at")).over(by_content).alias("rep"), F.count(F.lit(1)).over(Window.partitionBy("anchor", "content")).alias("alike"))
-    marked = scratch.save(marked.select("anchor", "content", "doc_id", "at", "n", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.at").alias("rep_at"), (F.col("alike") < F.col("total")).alias("mixed")), "slices")
-    own = "doc_id = rep_doc and at = rep_at"
+    found = scratch.save(source.mapInArrow(T.tidy(lambda it: _anchors(it, length, gram)), "anchor bigint, content bigint, doc_id bigint, at int, n int"), "found")
+    # A lone slice goes no further. All that is asked of an anchor or a content is aggregated and joined back, so none is gathered in a task.
+    several = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    met = scratch.save(found.join(several, "anchor", "left_semi"), "met")
+    reps = met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at")).alias("rep"))
+    reps = reps.join(reps.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor").select("anchor", "content", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.at").alias("rep_at"), "kinds")
+    reps = scratch.save(reps, "reps")
+    marked = met.join(reps, ["anchor", "content"]).select("content", "doc_id", "at", "n", "rep_doc", "rep_at", (F.col("kinds") > 1).alias("mixed"))
+    marked = scratch.save(marked, "slices")
     mixed = marked.where("mixed")
-    wanted = mixed.where(own).groupBy("doc_id").agg(F.collect_set("content").alias("contents"))
+    differing = reps.where("kinds > 1")
+    wanted = differing.groupBy(F.col("rep_doc").alias("doc_id")).agg(F.collect_set("content").alias("contents"))
     words = source.join(wanted, "doc_id").select("text", "contents").mapInArrow(T.tidy(lambda it: _fetch(it, length, gram)), "anchor bigint, content bigint, words array<bigint>")
-    words = words.join(mixed.where(own).select("anchor", "content", "doc_id", "at").distinct(), ["anchor", "content"]).groupBy("anchor", "content").agg(F.first("words").alias("words"), F.first("doc_id").alias("doc_id"), F.first("at").alias("at"))
-    shared = words.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(T.tidy(lambda it: _search(it, length)), "content bigint, offset int, first_doc bigint, first_at int")
+    words = words.join(differing, ["anchor", "content"]).groupBy("anchor", "content").agg(F.first("words").alias("words"), F.first("rep_doc").alias("doc_id"), F.first("rep_at").alias("at"), F.first("kinds").alias("kinds"))
+    crowded = not differing.where(F.col("kinds") > crowd).isEmpty()
+    if crowded:
+        words = scratch.save(words, "words")
+    places = "content bigint, offset int, first_doc bigint, first_at int"
+    shared = words.where(F.col("kinds") <= crowd).drop("kinds").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(T.tidy(lambda it: _search(it, length)), places)
+    if crowded:
+        # Where an anchor has more differing slices than a task takes, their windows meet by 128-bit digests instead.
+        windows = words.where(F.col("kinds") > crowd).mapInArrow(T.tidy(lambda it: _windows(it, length)), "content bigint, offset int, key binary, doc_id bigint, at int")
+        windows = scratch.save(windows, "windows")
+        first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
+        shared = shared.unionByName(windows.join(first, "key").select("content", "offset", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")))
     shared = scratch.save(shared, "shared")
     # A window is at its own first occurrence, at that of its slice's first copy, or at one found by the search.
-    copies = marked.where(f"not ({own})").select("doc_id", "at", "n", F.col("rep_doc").alias("first_doc"), F.col("rep_at").alias("first_at"), "content", "mixed")
+    copies = marked.where("not (doc_id = rep_doc and at = rep_at)").select("doc_id", "at", "n", F.col("rep_doc").alias("first_doc"), F.col("rep_at").alias("first_at"), "content", "mixed")
     plain = copies.where("not mixed").select("doc_id", "at", "n", "first_doc", "first_at")
     window = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("offset")
     each = mixed.select("doc_id", "at", "rep_doc", "rep_at", "content", window)
@@ -227,7 +255,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = steps.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(run))
     spans = runs.groupBy("doc_id", "k").agg(F.min("at").alias("start_word"), (F.sum("n") + length - 1).cast("int").alias("n_words"), F.min_by("first_doc", "at").alias("first_doc_id"), F.min_by("first_at", "at").alias("first_start_word"))
     result = scratch.save(spans.drop("k"), "result")
-    scratch.drop("slices", "shared")
+    scratch.drop("found", "met", "reps", "words", "windows", "slices", "shared")
     return result
 
 

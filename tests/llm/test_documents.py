@@ -342,6 +342,16 @@ def test_repeated_passages_match_brute_force(spark, size):
     assert {tuple(r) for r in got.collect()} == passages(pairs, 12)
 
 
+def test_an_anchor_with_many_differing_slices(spark):
+    """One passage in many surroundings, some of which occur again; more slices than a task is to take."""
+    rng = random.Random(3)
+    core = words(rng, 14, 10**6)
+    around = [(words(rng, rng.randrange(8), 10**6), words(rng, rng.randrange(8), 10**6)) for _ in range(25)]
+    pairs = [(i, f"{words(rng, 5, 9)} {a} {core} {b} {words(rng, 5, 9)}") for i, (a, b) in enumerate(rng.choices(around, k=50))]
+    got = [{tuple(r) for r in suffix.repeated_passages(texts(spark, pairs), length=12, gram=6, crowd=c).collect()} for c in (4, 10**6)]
+    assert got[0] == got[1] == passages(pairs, 12)
+
+
 def test_transform_finds_common_prefixes():
     rng = np.random.default_rng(1)
     for size in (2, 5):
