@@ -21,28 +21,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon doesn't reject; terms are added to it from the labelled ones among them."""
+    """Documents that the lexicon doesn't reject; terms are added to it from the labelled ones among them.
+
+    Null and empty texts stay, as do repeated rows (each is judged by itself), null ids and all columns; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, lexicon=learned_terms(docs, labels) | LEXICON)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates, and all that are in none."""
+    """The document with the least id of each group of near duplicates, and all that are in none.
+
+    Rows without an id, a text or a word are in no group and stay; rows with the same id are one document and stay or go together.
+    """
     return drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 50 words and more that occurred before."""
+    """All documents, without passages of 50 words and more that occurred before; of equal ones the least (id, place) stays.
+
+    No row goes: a text may become empty. Rows without an id or a text stay as they are; those that share an id are cut alike.
+    """
     return drop_repeated_passages(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document (one at least) as bring sources and languages to tempered shares."""
+    """As many copies of each document (one at least) as bring sources and languages to tempered shares.
+
+    Null sources and languages are groups of their own; texts without words get their groups' rate; an empty table stays empty.
+    """
     return mix_sources(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of up to 2048 words: the pieces of documents that each holds, in order."""
+    """Bins of up to 2048 words: the pieces of documents that each holds, in order.
+
+    Every word of every row is in one bin; longer texts are cut, rows without words are in none. An empty table gives no bins.
+    """
     return packed_bins(docs)
 
 
