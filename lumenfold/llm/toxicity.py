@@ -99,32 +99,60 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 or term in EXACT else 1 if len(term) < 9 else 2
 
 
+def _cuts(word: str, n: int) -> list[tuple[int, int]]:
+    """Begin and end in bytes of ``n`` pieces of about as many characters, between characters, so that an edit spoils one piece only."""
+    edges = [len(word[: round(i * len(word) / n)].encode()) for i in range(n + 1)]
+    return list(zip(edges, edges[1:]))
+
+
 class Lexicon:
     def __init__(self, terms: Mapping[str, float], ordinary: frozenset[str]):
         self.terms, self.ordinary = dict(terms), ordinary
         self.trie: dict = {}
-        looked: dict[tuple[str, int, int, int, int], set[bytes]] = {}
+        looked: dict[tuple[str, int, int], dict[bytes, list]] = {}
         self.most = max(map(allowed_edits, self.terms), default=0)
+
+        def note(kind: str, shift: int, piece: bytes, least: int, longest: int, first: int | None) -> None:
+            """A word may be near a term if it has ``piece`` there, a length in bytes in that range, and begins with ``first`` (or any byte)."""
+            looked.setdefault((kind, shift, len(piece)), {}).setdefault(piece, []).append((least, longest, first))
+
         for t in self.terms:
             node = self.trie
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
             b, d = t.encode(), allowed_edits(t)
-            # Between characters, so that an edit spoils one piece only; an edit moves what follows by up to four bytes.
-            cuts = [len(t[: round(i * len(t) / (d + 1))].encode()) for i in range(d + 2)]
             widest = max((len(c.encode()) for c in t), default=1)
-            # A word of another length has too many edits.
+            # A word of another length has too many edits; one edit changes a length by four bytes at most.
             lengths = len(b) - widest * d, len(b) + 4 * d
-            for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            for k, (x, y) in enumerate(_cuts(t, d + 1)):
                 if k == 0:
-                    looked.setdefault(("front", 0, y, *lengths), set()).add(b[:y])
+                    note("front", 0, b[:y], *lengths, None)
                 elif k == d:
-                    looked.setdefault(("back", 0, y - x, *lengths), set()).add(b[x:])
+                    note("back", 0, b[x:], *lengths, b[0])
                 else:
                     for shift in range(-k * widest, 4 * k + 1):
-                        looked.setdefault(("front", x + shift, y - x, *lengths), set()).add(b[x:y])
-        self.looked = {k: np.sort(T.Prefix(T.CODES[np.frombuffer(b"".join(sorted(v)), np.uint8)]).of(np.arange(len(v)) * k[2], (np.arange(len(v)) + 1) * k[2])) for k, v in looked.items()}
+                        note("front", x + shift, b[x:y], *lengths, b[0])
+            if d and len(t) >= FIRST_FROM:
+                # With another first letter there is one edit less for the rest.
+                rest = t[1:].encode()
+                for k, (x, y) in enumerate(_cuts(t[1:], d)):
+                    if k == d - 1:
+                        note("back", 0, rest[x:], *lengths, None)
+                    else:
+                        for shift in range(-k * widest, widest + 4 * (k + 1) + 1):
+                            note("front", x + shift, rest[x:y], *lengths, None)
+        self.looked = {}
+        for (kind, shift, n), pieces in looked.items():
+            names = sorted(pieces)
+            hashes = T.Prefix(T.CODES[np.frombuffer(b"".join(names), np.uint8)]).of(np.arange(len(names)) * n, (np.arange(len(names)) + 1) * n)
+            first = np.zeros((len(names), 256), bool)
+            for k, name in enumerate(names):
+                for _, _, c in pieces[name]:
+                    first[k, slice(None) if c is None else c] = True
+            bounds = np.array([(min(x for x, _, _ in pieces[name]), max(x for _, x, _ in pieces[name])) for name in names])
+            order = np.argsort(hashes)
+            self.looked[kind, shift, n] = hashes[order], bounds[order, 0], bounds[order, 1], first[order]
         self.shortest = min((len(t) - allowed_edits(t) for t in self.terms), default=1)
         self.longest = max((len(t.encode()) + 4 * allowed_edits(t) for t in self.terms), default=0)
         self.known: dict[str, tuple[str, int] | None] = {}
@@ -158,13 +186,15 @@ class Lexicon:
         if not len(at):
             return at
         s, e, length = start[at], end[at], length[at]
-        prefix, hit = T.Prefix(T.CODES[low]), np.zeros(len(at), bool)
-        for (kind, shift, n, least, most), hashes in self.looked.items():
+        prefix, hit, initial = T.Prefix(T.CODES[low]), np.zeros(len(at), bool), low[s]
+        for (kind, shift, n), (hashes, least, longest, first) in self.looked.items():
             x = s + shift if kind == "front" else e - n
-            ok = np.flatnonzero((x >= s) & (x + n <= e) & (length >= least) & (length <= most) & ~hit)
+            ok = np.flatnonzero((x >= s) & (x + n <= e))
             h = prefix.of(x[ok], x[ok] + n)
-            p = np.searchsorted(hashes, h)
-            hit[ok] |= hashes[np.minimum(p, len(hashes) - 1)] == h
+            p = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            some = np.flatnonzero(hashes[p] == h)
+            ok, p = ok[some], p[some]
+            hit[ok] |= (length[ok] >= least[p]) & (length[ok] <= longest[p]) & first[p, initial[ok]]
         return at[hit]
 
 
