@@ -77,43 +77,67 @@ def different_buckets(members: DataFrame) -> DataFrame:
     return members.join(one, "bucket", "left_semi").select("bucket", "doc_id")
 
 
-def group_by_buckets(members: DataFrame, alike: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], values: DataFrame, scratch: Scratch, known: DataFrame, star_rounds: int = 3) -> DataFrame:
+#: Pairs of the last round that are compared as they are; where more would be, buckets are refined first.
+PAIRS = 20_000_000
+
+
+def group_by_buckets(members: DataFrame, alike: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], values: DataFrame, scratch: Scratch, known: DataFrame, star_rounds: int = 3, refine: Callable[[DataFrame], DataFrame] | None = None, most_pairs: int = PAIRS) -> DataFrame:
     """(doc_id, kept_id, group_size) of the components that alike pairs out of common buckets make, with the ``known`` edges.
 
     ``members`` has (bucket, doc_id), ``values`` (doc_id, ...) what to compare; ``alike`` gets pairs (a, b) and the values of
     the documents in them (twice) and keeps those that are alike. Only connection counts, so
     each document is compared with one lead first, then in ``star_rounds`` rounds with other leads of buckets that
     still hold several components, and whatever is apart after that pair by pair: no partner is left out, however
-    large a bucket is.
+    large a bucket is. Where that would be more than ``most_pairs``, ``refine`` gets the documents (doc_id) and gives keys (doc_id, key) of which
+    alike documents share one at least; the open buckets are split by them, and the rounds begin anew. The result is the same.
     """
+    done: list[str] = []
+    links: DataFrame | None = None
+    name = ""
 
     def verified(pairs: DataFrame, k: int) -> DataFrame:
-        pairs = scratch.save(pairs, f"pairs{k}")
+        pairs = scratch.save(pairs, f"pairs{name}{k}")
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         some = only(values, "doc_id", ids, 2 * pairs.count())
-        done.append(f"pairs{k}")
-        done.append(f"links{k}")
-        return scratch.save(alike(pairs, some, some), f"links{k}")
+        done.append(f"pairs{name}{k}")
+        done.append(f"links{name}{k}")
+        return scratch.save(alike(pairs, some, some), f"links{name}{k}")
 
-    done: list[str] = []
-    lead = members.groupBy("bucket").agg(F.min("doc_id").alias("lead")).join(members, "bucket").groupBy("doc_id").agg(F.min("lead").alias("lead"))
-    pairs = lead.where("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-    links = verified(pairs, 0)
-    for k in range(1, star_rounds + 2):
-        roots = components(links, scratch, f"round{k}")
+    def opened(k: int) -> DataFrame:
+        """(bucket, doc_id, root, lead) of the buckets that hold several components."""
+        roots = components(links, scratch, f"round{name}{k}")
         placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias("lead")).where("low < high").select("bucket", "lead")
-        open_ = scratch.save(placed.join(apart, "bucket"), f"open{k}")
-        done.append(f"open{k}")
-        if open_.isEmpty():
-            break
-        if k <= star_rounds:
-            first = open_.where("doc_id = lead").select("bucket", F.col("root").alias("lead_root")).distinct()
-            todo = open_.join(first, "bucket").where("root <> lead_root").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+        done.append(f"open{name}{k}")
+        return scratch.save(placed.join(apart, "bucket"), f"open{name}{k}")
+
+    while True:
+        lead = members.groupBy("bucket").agg(F.min("doc_id").alias("lead")).join(members, "bucket").groupBy("doc_id").agg(F.min("lead").alias("lead"))
+        first = verified(lead.where("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), 0)
+        links = first if links is None else links.union(first)
+        for k in range(1, star_rounds + 1):
+            rest = opened(k)
+            if rest.isEmpty():
+                break
+            leads = rest.where("doc_id = lead").select("bucket", F.col("root").alias("lead_root")).distinct()
+            todo = rest.join(leads, "bucket").where("root <> lead_root").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+            links = links.union(verified(todo.distinct(), k))
         else:
-            other = open_.select("bucket", F.col("doc_id").alias("b"), F.col("root").alias("r"))
-            todo = open_.select("bucket", F.col("doc_id").alias("a"), "root").join(other, "bucket").where("root <> r and a < b").select("a", "b")
-        links = links.union(verified(todo.distinct(), k))
+            rest = opened(star_rounds + 1)
+        if rest.isEmpty():
+            break
+        size = rest.groupBy("bucket").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+        if refine is None or name or size <= most_pairs:
+            other = rest.select("bucket", F.col("doc_id").alias("b"), F.col("root").alias("r"))
+            todo = rest.select("bucket", F.col("doc_id").alias("a"), "root").join(other, "bucket").where("root <> r and a < b").select("a", "b")
+            links = links.union(verified(todo.distinct(), star_rounds + 1))
+            break
+        keys = refine(rest.select("doc_id").distinct())
+        name = "-fine"
+        fine = scratch.save(rest.join(keys, "doc_id").select(F.xxhash64("bucket", "key").alias("bucket"), "doc_id").distinct(), "fine")
+        done.append("fine")
+        members = scratch.save(different_buckets(fine.join(fine.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi")), "finer")
+        done.append("finer")
     roots = components(links.union(known), scratch, "all")
     sizes = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     found = scratch.save(roots.where("node <> root").join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"), "group_size"), "result")

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import text as T
-from .components import different_buckets, group_by_buckets, only
+from .components import PAIRS, different_buckets, group_by_buckets, only
 from .scratch import Scratch
 
 U = np.uint64
@@ -84,7 +85,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids[lo:hi], lists], ["doc_id", "grams"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, bands: int = 40, rows: int = 4, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, bands: int = 40, rows: int = 4, star_rounds: int = 3, most_pairs: int = PAIRS) -> DataFrame:
     """(doc_id, kept_id, group_size): each document that duplicates another, with the least id of its group.
 
     Two documents are linked if the Jaccard index of their sets of word n-grams (ASCII letters in lower
@@ -96,7 +97,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal word sequences are joined first, by a 128-bit BLAKE2b digest. In every bucket documents are then compared with one
     lead, in ``star_rounds`` rounds with other leads while a bucket holds several components, and what is
-    still apart after that is compared pair by pair, so no partner is dropped however large a bucket is.
+    still apart after that is compared pair by pair, so no partner is dropped however large a bucket is; where that
+    would be more than ``most_pairs``, only those that share one of their rarest n-grams, as all at ``threshold`` do.
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
@@ -119,7 +121,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = p.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
         return p.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    found = group_by_buckets(members, alike, sets, scratch, exact.select("a", "b"), star_rounds)
+    def rare(ids: DataFrame) -> DataFrame:
+        """Of each document so many of its rarest n-grams that any other one at ``threshold`` has one of them among its own."""
+        grams = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.xxhash64("grams").alias("set"), F.size("grams").alias("n"), F.explode("grams").alias("key"))
+        ranked = grams.join(grams.groupBy("key").agg(F.count("*").alias("f")), "key")
+        place = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("f", "key"))
+        return ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("f > 1").select("doc_id", "key").distinct()
+
+    found = group_by_buckets(members, alike, sets, scratch, exact.select("a", "b"), star_rounds, rare, most_pairs)
     scratch.drop("sketches", "exact", "several", "shared", "members", "involved", "sets")
     return found
 

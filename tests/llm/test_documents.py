@@ -225,6 +225,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["group_size"] == sizes[r["kept_id"]] + 1 for r in out)
 
 
+def test_open_buckets_are_split_by_rare_grams(spark):
+    """Many documents share half of their words, so buckets stay open; the way with splitting gives what brute force does."""
+    rng = random.Random(6)
+    shared = words(rng, 40, 10**6)
+    pairs = [(i, f"{shared} {words(rng, rng.randrange(30, 60), 10**6)}") for i in range(40)]
+    pairs += [(100 + i, edited(rng, pairs[i][1], 0.05)) for i in range(12)] + [(200 + i, edited(rng, pairs[i][1], 0.1)) for i in range(12)]
+    for most in (0, 10**9):
+        out = minhash.near_duplicates(texts(spark, pairs), bands=60, rows=2, star_rounds=1, most_pairs=most).collect()
+        assert {(r["doc_id"], r["kept_id"]) for r in out} == groups(pairs)
+
+
 def test_large_bucket_of_different_groups_is_split_exactly(spark):
     """All pairs share every band, but only some are alike: whatever the leads leave apart is compared pair by pair."""
     from pyspark.sql import functions as F
