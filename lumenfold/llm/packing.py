@@ -21,14 +21,18 @@ from .scratch import Scratch
 from .tokens import with_words
 
 
-#: Copies of a row that are laid out together.
-PART = 1000
+#: Copies of a row that are laid out together; how far the order of displaced documents strays from that of their sizes.
+PART, NOISE = 1000, 0.3
 
 
-def best_fit(sizes: list[int], items: list[int], capacity: int, room: list[int], bins: np.ndarray) -> None:
-    """Puts ``items``, largest first, into the fullest bin that has room, or a new one; changes ``room`` and ``bins``."""
+def best_fit(sizes: list[int], items: list[int], capacity: int, room: list[int], bins: np.ndarray, rng: np.random.Generator | None = None) -> None:
+    """Puts ``items``, largest first, into the fullest bin that has room, or a new one; changes ``room`` and ``bins``.
+
+    With ``rng`` sizes count up to NOISE more in the order, so that the same items don't always meet again in the same bins.
+    """
     free = sorted((r, b) for b, r in enumerate(room) if r > 0)
-    for i in sorted(items, key=lambda i: (-sizes[i], i)):
+    noise = (1 + NOISE * rng.random(len(items))).tolist() if rng is not None else [1.0] * len(items)
+    for _, i in sorted((-sizes[i] * x, i) for i, x in zip(items, noise)):
         s = sizes[i]
         k = bisect_left(free, (s, -1))
         if k < len(free):
@@ -42,7 +46,7 @@ def best_fit(sizes: list[int], items: list[int], capacity: int, room: list[int],
             insort(free, (r - s, b))
 
 
-def crossover(sizes: np.ndarray, listed: list[int], capacity: int, into: np.ndarray, other: np.ndarray, rng: np.random.Generator, share: float = 0.5) -> np.ndarray:
+def crossover(sizes: np.ndarray, listed: list[int], capacity: int, into: np.ndarray, other: np.ndarray, rng: np.random.Generator, share: float = 0.05) -> np.ndarray:
     """A child of ``into`` that has some whole well-filled bins of ``other``."""
     fill = np.bincount(other, sizes)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
@@ -60,11 +64,11 @@ def crossover(sizes: np.ndarray, listed: list[int], capacity: int, into: np.ndar
     child[injected] = np.unique(other[injected], return_inverse=True)[1] + base if injected.any() else 0
     some = child >= 0
     room = (capacity - np.bincount(child[some], sizes[some])).astype(int).tolist() if some.any() else []
-    best_fit(listed, np.flatnonzero(displaced).tolist(), capacity, room, child)
+    best_fit(listed, np.flatnonzero(displaced).tolist(), capacity, room, child, rng)
     return child
 
 
-def mutate(sizes: np.ndarray, listed: list[int], capacity: int, parent: np.ndarray, rng: np.random.Generator, share: float = 0.1) -> np.ndarray:
+def mutate(sizes: np.ndarray, listed: list[int], capacity: int, parent: np.ndarray, rng: np.random.Generator, share: float = 0.3) -> np.ndarray:
     """Empties the least filled bin and a random ``share`` of the others that aren't full, and best-fits their documents again."""
     fill = np.bincount(parent, sizes)
     gone = (rng.random(len(fill)) < share) & (fill < capacity)
@@ -74,7 +78,7 @@ def mutate(sizes: np.ndarray, listed: list[int], capacity: int, parent: np.ndarr
     child[~out] = np.unique(parent[~out], return_inverse=True)[1] if (~out).any() else 0
     room = (capacity - np.bincount(child[~out], sizes[~out])).astype(int).tolist() if (~out).any() else []
     items = np.flatnonzero(out).tolist()
-    best_fit(listed, items, capacity, room, child)
+    best_fit(listed, items, capacity, room, child, rng)
     return child
 
 
@@ -100,7 +104,7 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], size:
         best_fit(listed, list(range(len(sizes))), capacity, [], first)
         pool.append((fitness(sizes, first, capacity), first))
     while len(pool) < size:
-        b = mutate(sizes, listed, capacity, pool[0][1], rng, 0.5)
+        b = mutate(sizes, listed, capacity, pool[0][1], rng)
         pool.append((fitness(sizes, b, capacity), b))
     pool.sort(key=lambda x: -x[0])
     for _ in range(generations):
@@ -130,7 +134,7 @@ def _epoch(batches: Iterator[pa.RecordBatch], capacity: int, population: int, ge
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["problem", "island", "elites", "bins", "fitness"])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, problem_size: int = 1000, islands: int = 3, epochs: int = 2, generations: int = 8, population: int = 4, seed: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, problem_size: int = 1000, islands: int = 3, epochs: int = 2, generations: int = 30, population: int = 4, seed: int = 1) -> DataFrame:
     """(bin_id, slot, doc_id, start_word, n_words): where every piece of every row's text goes.
 
     Texts longer than ``capacity`` words are cut into pieces of ``capacity`` and a rest; a full piece is a bin of its own. Every
