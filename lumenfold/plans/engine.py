@@ -62,6 +62,12 @@ class Namespace:
             version = self.replace(updates, "seq")
         return version
 
+    def publish(self, docs: DataFrame, mode: str = "append", order: str | None = None) -> int:
+        """A migrated collection: upserted into what is there ("append"), or in its place at once ("replace")."""
+        if mode not in ("append", "replace"):
+            raise ValueError(f"mode is append or replace, not {mode!r}")
+        return self.index(docs, order) if mode == "append" else self.table.replace_all(self._rows(docs), order)
+
     def delete(self, clause: Mapping) -> int:
         """Deletes what a filter matches, durably."""
         return self.table.delete_by_query(clause)

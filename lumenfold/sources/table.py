@@ -172,7 +172,14 @@ class SnapshotTable:
         # A delete covers rows of earlier commits; where none is left it has nothing to do.
         oldest = min((s["seq"] for s in new["segments"]), default=seq + 1)
         new["deletes"] = [d for d in new["deletes"] if d["seq"] > oldest]
-        return self.publish(new)
+        try:
+            return self.publish(new)
+        except Conflict:
+            # What was written for a version that never came is removed, so that an import doesn't find it.
+            for path in [s["path"] for s in made] + [d["path"] for d in new["deletes"] if d["seq"] == seq] + [f"{REPLACED}/{s['path'].split('/')[1]}.json" for s in made]:
+                fs, p = self._fs(f"{self.path}/{path}")
+                fs.delete(p, True)
+            raise
 
     def _ordered(self, rows: DataFrame, order: str | None) -> tuple[DataFrame, str]:
         """``rows`` and the column that orders them: as they came in, where none is given."""
