@@ -67,9 +67,9 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def different_buckets(members: DataFrame) -> DataFrame:
-    """``members`` (bucket, doc_id), distinct, of one of each set of buckets that have the same documents.
+    """``members`` (bucket, doc_id) of one of each set of buckets that have the same documents, as often each.
 
-    Sets are compared by their number, least, greatest and two sums of hashes, so none is collected.
+    They are compared by their number, least, greatest and two sums of hashes, so none is collected.
     """
     h = F.xxhash64("doc_id")
     of = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.sum(F.shiftrightunsigned(h, 32)).alias("t"))

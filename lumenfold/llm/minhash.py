@@ -108,8 +108,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = scratch.save(exact, "exact")
     # One of each set of copies goes on; another text of the same id is no copy.
     reps = sketches.join(exact.select(F.col("b").alias("doc_id"), "whole"), ["doc_id", "whole"], "left_anti").select("doc_id", F.explode("bands").alias("bucket"))
-    several = scratch.save(reps.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket"), "several")
-    shared = scratch.save(only(reps, "bucket", several, several.count()).distinct(), "shared")
+    several = scratch.save(reps.groupBy("bucket").count().where("count > 1").select("bucket"), "several")
+    shared = scratch.save(only(reps, "bucket", several, several.count()), "shared")
     members = scratch.save(different_buckets(shared), "members")
     involved = scratch.save(members.select("doc_id").distinct(), "involved")
     sets = scratch.save(only(source, "doc_id", involved, involved.count()).mapInArrow(T.tidy(lambda it: _sets(it, n)), "doc_id bigint, grams array<bigint>"), "sets")
