@@ -25,7 +25,7 @@ from .scratch import Scratch
 
 U = np.uint64
 #: Words of slices that one transform is built over.
-SYMBOLS = 1_000_000
+SYMBOLS = 300_000
 UNSET = 1 << 30
 #: Differing slices of an anchor that are searched in one task.
 CROWD = 4096
