@@ -106,38 +106,75 @@ class _Model:
                 self.errors[order, k] += np.bincount(at, np.abs(goal - x), len(self.escapes)).astype(np.int64)
 
 
-def _guesses(ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the id + 1 that came last in the same group (0 if none did), and how many guesses there were right in a row (7 at most)."""
-    n = len(ids)
-    s = np.sort(group.astype(U) << U(22) | np.arange(n, dtype=U))
-    at = (s & U((1 << 22) - 1)).astype(np.int64)
-    s >>= U(22)
-    x = ids[at]
+def _guesses(x: np.ndarray, group: np.ndarray, key: np.ndarray, begin: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the id (plus 1, as in ``x``) that came last in the same group of the block (0 if none did), and how many guesses there were right in a row (7 at most)."""
+    n = len(x)
+    s = np.sort(key | group << np.uint32(bits))
+    at = (s & np.uint32((1 << bits) - 1)) + begin[s >> np.uint32(16 + bits)]
+    s >>= np.uint32(bits)
+    x = x[at]
     last = np.zeros(n, np.int32)
-    last[1:] = np.where(s[1:] == s[:-1], x[:-1] + 1, 0)
+    np.multiply(x[:-1], s[1:] == s[:-1], out=last[1:])
     place = np.arange(n, dtype=np.int32)
-    wrong = np.maximum.accumulate(np.where(last == x + 1, np.int32(0), place))
+    wrong = np.maximum.accumulate(place * (last != x))
     run = np.zeros(n, np.int32)
-    run[1:] = np.minimum(place[:-1] - wrong[:-1], 7)
+    np.minimum(place[:-1] - wrong[:-1], 7, out=run[1:])
     guess, runs = np.empty(n, np.int32), np.empty(n, np.int32)
     guess[at], runs[at] = last, run
     return guess, runs
 
 
-def _numbers(ids: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+def _numbers(x: np.ndarray, key: np.ndarray, begin: np.ndarray, bits: int) -> np.ndarray:
     """For each id its number in the order in which ids first occur in the block."""
-    n = len(ids)
-    s = np.sort((block * 65536 + ids).astype(U) << U(22) | np.arange(n, dtype=U))
-    at = (s & U((1 << 22) - 1)).astype(np.int64)
-    s >>= U(22)
-    first = np.concatenate(([True], s[1:] != s[:-1]))
-    # First places, by block and place.
-    opens = np.sort(s[first] >> U(16) << U(22) | at[first].astype(U))
-    owner = (opens >> U(22)).astype(np.int64)
-    place = np.empty(n, np.int64)
-    place[(opens & U((1 << 22) - 1)).astype(np.int64)] = np.arange(len(opens)) - np.searchsorted(owner, np.arange(blocks))[owner]
-    out = np.empty(n, np.int64)
-    out[at] = place[at[first]][np.cumsum(first) - 1]
+    s = np.sort(key | (x - 1).astype(np.uint32) << np.uint32(bits))
+    block = s >> np.uint32(16 + bits)
+    at = (s & np.uint32((1 << bits) - 1)) + begin[block]
+    s >>= np.uint32(bits)
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    opens = np.zeros(len(s) + 1, np.int32)
+    opens[at[first] + 1] = 1
+    np.cumsum(opens, out=opens)
+    # Ids that occurred first at an earlier place of the block.
+    number = opens[at[first]] - opens[begin[block[first]]]
+    out = np.empty(len(s), np.int32)
+    out[at] = number[np.cumsum(first) - 1]
+    return out
+
+
+def _later(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of each place what is ``k`` places before it in the block, or 0."""
+    out = np.zeros_like(x)
+    np.multiply(x[:-k], at[k:] >= k, out=out[k:])
+    return out
+
+
+def _told(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What is known of each id before it is coded, as bits: its number in the block (12), the last three outcomes (6), for either order the run of right guesses (4 each),
+    whether it is asked (1 each) and whether it is right (1 each). Blocks are taken as many at a time as have keys of 32 bits with their ids and places."""
+    edge = np.concatenate(([0], np.cumsum(size)))
+    out, lo = np.empty(len(ids), np.uint32), 0
+    while lo < len(size):
+        bits = (int(size[lo]) - 1).bit_length()
+        hi = min(len(size), lo + (1 << (16 - bits)))
+        n, begin = size[lo:hi], edge[lo:hi] - edge[lo]
+        x = ids[edge[lo] : edge[hi]] + np.int32(1)
+        lane = np.repeat(np.arange(hi - lo, dtype=np.uint32), n)
+        at = np.arange(len(x), dtype=np.uint32) - begin.astype(np.uint32)[lane]
+        key = lane << np.uint32(16 + bits) | at
+        p1, p2 = (_later(x, at, k).astype(np.uint32) for k in (1, 2))
+        # Only low bits of the products count, so 32 hold them.
+        (g2, r2), (g1, r1) = (_guesses(x, slot, key, begin, bits) for slot in _slots(p1, p2))
+        agree = g1 == g2
+        right = g2 == x
+        asked = g2 > 0, (g1 > 0) & ~agree & ~right
+        hit = asked[0] & right, asked[1] & (g1 == x)
+        outcome = hit[0].astype(np.uint32) * np.uint32(2) + hit[1]
+        made = _numbers(x, key, begin, bits).astype(np.uint32)
+        for shift, v in zip((12, 14, 16, 18, 22, 26, 27, 28, 29), (*(_later(outcome, at, k) for k in (1, 2, 3)), r2 * 2 + agree, r1 * 2 + asked[0], *asked, *hit)):
+            made |= v.astype(np.uint32) << np.uint32(shift)
+        out[edge[lo] : edge[hi]] = made
+        lo = hi
     return out
 
 
@@ -145,39 +182,24 @@ def _intervals(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Block and place of every id, period by period, begin and width of its interval, and whether one of the prior follows. Blocks one after another, longest first, none empty."""
     begin = np.cumsum(size) - size
     spans = [(s, e, int(np.searchsorted(-size, -s, "left"))) for s, e in _periods(int(size[0]))]
-    lengths = [np.minimum(size[:n], e) - s for s, e, n in spans]
-    # From here on ids are in order of period, block and place, in which those of a block keep their order.
-    order = np.concatenate([T.ragged(begin[:n] + s, x) for (s, _, n), x in zip(spans, lengths)])
-    lanes = np.concatenate([np.repeat(np.arange(n), x) for (_, _, n), x in zip(spans, lengths)])
-    at = order - begin[lanes]
-    padded = np.concatenate((np.zeros(2, np.int64), ids + 1))
-    p1, p2 = np.where(at > 0, padded[order + 1], 0), np.where(at > 1, padded[order], 0)
-    ids = padded[order + 2].astype(np.int32)  # plus 1
-    slots = _slots(p1, p2)
-    del p1, p2, padded
-    (g2, r2), (g1, r1) = (_guesses(ids - 1, (lanes << bits) + s) for s, bits in zip(slots, _SLOTS))
-    del slots
-    number = _numbers(ids - 1, lanes, len(size))
-    agree = g1 == g2
-    right = g2 == ids
-    has = [g2 > 0, (g1 > 0) & ~agree & ~right]
-    hit = [has[0] & right, has[1] & (g1 == ids)]
-    run = [r2 * 2 + agree, r1 * 2 + has[0]]
-    outcome = np.zeros(len(ids) + 3, np.int8)
-    outcome[order + 3] = hit[0] * np.int8(2) + hit[1]
-    past = sum(np.where(at >= k, outcome[order + (3 - k)], 0).astype(np.int64) << 2 * (k - 1) for k in (1, 2, 3))
-    del g1, g2, r1, r2, agree, right, outcome, order
-    low, wide, escaped = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.empty(len(ids), bool)
+    told, total = _told(ids, size), len(ids)
+    lanes, places = np.empty(total, np.int64), np.empty(total, np.int64)
+    low, wide, escaped = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, bool)
     model, x = _Model(len(size), int(size[0])), 0
-    for (_, _, n), length in zip(spans, lengths):
+    for s, e, n in spans:
         model.renew(n)
-        i = slice(x, x := x + int(length.sum()))
-        lane = lanes[i]
+        length = np.minimum(size[:n], e) - s
+        lane, at = np.repeat(np.arange(n), length), T.ragged(begin[:n] + s, length)
+        i = slice(x, x := x + len(lane))
+        lanes[i], places[i] = lane, at - begin[lane]
+        known_of = told[at].astype(np.int64)
+        number, past = known_of & 4095, known_of >> 12 & 63
         base, width, flags = None, None, []
         missed = np.ones(len(lane), bool)
         for order in (0, 1):
-            asked = np.flatnonzero(has[order][i])
-            there, runs, before, h = lane[asked], run[order][i][asked], past[i][asked], hit[order][i][asked]
+            asked = np.flatnonzero(known_of >> 26 + order & 1)
+            mine = known_of[asked]
+            there, runs, before, h = lane[asked], mine >> 18 + 4 * order & 15, past[asked], (mine >> 28 + order & 1).astype(bool)
             p, a, b = model.chances(order, there, runs, before)
             flags.append((there, runs, before, a, b, h))
             c, f = np.zeros(len(lane), np.int64), np.full(len(lane), 1 << FLAG)
@@ -185,7 +207,7 @@ def _intervals(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
             base, width = (c, f) if base is None else ((base << FLAG) + width * c, width * f)
             missed[asked[h]] = False
         j = np.flatnonzero(missed)
-        there, x0 = lane[j], number[i][j]
+        there, x0 = lane[j], number[j]
         d = model.distinct.take(there)
         known = x0 < d
         x0 = np.minimum(x0, d)
@@ -198,8 +220,8 @@ def _intervals(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
         esc = np.zeros(len(lane), bool)
         esc[j[~known]] = True
         escaped[i] = esc
-        model.learn(lane, number[i], missed, esc, flags)
-    return lanes, at, low, wide, escaped
+        model.learn(lane, number, missed, esc, flags)
+    return lanes, places, low, wide, escaped
 
 
 def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
@@ -224,7 +246,7 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
 def _payloads(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
     block, at, low, wide, escaped = _intervals(ids, size)
     n = len(size)
-    ids = np.concatenate((ids, [0]))[(np.cumsum(size) - size)[block] + at][escaped]
+    ids = ids[(np.cumsum(size) - size)[block[escaped]] + at[escaped]]
     # Steps of a lane: its ids, each new one followed by one more.
     extra = np.zeros((n, int(size[0])), np.int16)
     extra[block, at] = escaped
@@ -262,10 +284,7 @@ def _payloads(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
     shown = np.concatenate((shown.T, (value >> U(32)).astype(np.uint32)[:, None], (value & U(0xFFFFFFFF)).astype(np.uint32)[:, None]), 1)
     carry = carry.T
     each = count.sum(1, dtype=np.int64)
-    flat = count.ravel()
-    owner = np.repeat(np.arange(flat.size), flat)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(flat, dtype=np.int64) - flat, flat)
-    data = ((shown.ravel()[owner] >> (24 - 8 * within).astype(np.uint32)) & np.uint32(255)).astype(np.int32)
+    data = np.ascontiguousarray(shown, ">u4").view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < count.reshape(-1, 1)].astype(np.int32)
     before = np.cumsum(count, 1, dtype=np.int64) - count
     start = np.cumsum(each) - each
     lanes, times = np.nonzero(carry)
@@ -424,7 +443,7 @@ class Tokenizer:
 
     def forget(self) -> None:
         self.entry: dict[bytes, int] = {}
-        self.place = np.full(1 << _TABLE, -1, np.int64)
+        self.place, self.lead = np.full(1 << _TABLE, -1, np.int64), np.zeros(1 << _TABLE, np.int64)
         self.key = np.zeros((3, 1024), U)
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
@@ -484,6 +503,13 @@ class Tokenizer:
             same &= self.key[k][np.maximum(out, 0)] == key[k]
         missing = np.flatnonzero(~same)
         if len(missing):
+            # Of equal stretches one is looked up for all.
+            self.lead[place[missing]] = missing
+            lead = self.lead[place[missing]]
+            twin = (length[missing] <= 16) & (lead != missing)
+            for k in range(3):
+                twin &= key[k][missing] == key[k][lead]
+            twins, lead, missing = missing[twin], lead[twin], missing[~twin]
             raw = data.tobytes()
             words = [raw[i:j] for i, j in zip(start[missing].tolist(), end[missing].tolist())]
             new = [w for w in dict.fromkeys(words) if w not in self.entry]
@@ -496,6 +522,7 @@ class Tokenizer:
                 self.ids = _grown(self.ids, self.used, made)
                 self.used += len(made)
             out[missing] = [self.entry[w] for w in words]
+            out[twins] = out[lead]
             short = missing[length[missing] <= 16]
             self.place[place[short]] = out[short]
             if len(self.entry) > self.key.shape[1]:

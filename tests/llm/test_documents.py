@@ -653,3 +653,22 @@ def test_documents_encode_and_decode(spark):
     with pytest.raises(Exception, match="checksum"):
         tokencodec.decode_blocks(broken).collect()
     assert tokencodec.encode_documents(texts(spark, []), path, pattern).count() == 0
+
+
+def test_equal_new_stretches_are_looked_up_once():
+    from lumenfold.llm.queries import _tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, w):
+            Counted.asked += 1
+            return super().__getitem__(w)
+
+    path, pattern = _tokenizer("byte_bpe_50k.tiktoken")
+    words = tokencodec.Tokenizer(path, pattern)
+    words.entry = Counted()
+    raw = b"one two three " * 500
+    ids, _ = words.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert ids.tolist() == tokencodec._encoding(path, pattern).encode_ordinary(raw.decode())
+    assert Counted.asked < 20
