@@ -27,6 +27,8 @@ U = np.uint64
 BLOCK = 4096
 #: Ids coded, and blocks decoded, in step at most.
 IDS, LANES = 1 << 21, 256
+#: Steps of the coder that are laid out together.
+STEPS = 64
 #: Ids between two renewals of the frequencies, when a block is under way.
 PERIOD = 64
 #: Bits of a flag's chance and of the order-0 frequencies; an interval has those of two flags and one frequency.
@@ -178,20 +180,17 @@ def _told(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _intervals(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Block and place of every id, period by period, begin and width of its interval, and whether one of the prior follows. Blocks one after another, longest first, none empty."""
+def _intervals(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and width of the interval of every id, and whether one of the prior follows. Blocks one after another, longest first, none empty."""
     begin = np.cumsum(size) - size
     spans = [(s, e, int(np.searchsorted(-size, -s, "left"))) for s, e in _periods(int(size[0]))]
     told, total = _told(ids, size), len(ids)
-    lanes, places = np.empty(total, np.int64), np.empty(total, np.int64)
-    low, wide, escaped = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, bool)
-    model, x = _Model(len(size), int(size[0])), 0
+    low, wide, escaped = np.empty(total, U), np.empty(total, U), np.empty(total, bool)
+    model = _Model(len(size), int(size[0]))
     for s, e, n in spans:
         model.renew(n)
         length = np.minimum(size[:n], e) - s
         lane, at = np.repeat(np.arange(n), length), T.ragged(begin[:n] + s, length)
-        i = slice(x, x := x + len(lane))
-        lanes[i], places[i] = lane, at - begin[lane]
         known_of = told[at].astype(np.int64)
         number, past = known_of & 4095, known_of >> 12 & 63
         base, width, flags = None, None, []
@@ -216,12 +215,12 @@ def _intervals(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
         lo, hi = base << ORDER0, width << ORDER0
         lo[j] += width[j] * c
         hi[j] = width[j] * f
-        low[i], wide[i] = lo, hi
+        low[at], wide[at] = lo, hi
         esc = np.zeros(len(lane), bool)
         esc[j[~known]] = True
-        escaped[i] = esc
+        escaped[at] = esc
         model.learn(lane, number, missed, esc, flags)
-    return lanes, places, low, wide, escaped
+    return low, wide, escaped
 
 
 def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
@@ -244,62 +243,81 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
 
 
 def _payloads(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
-    block, at, low, wide, escaped = _intervals(ids, size)
-    n = len(size)
-    ids = ids[(np.cumsum(size) - size)[block[escaped]] + at[escaped]]
+    low, wide, escaped = _intervals(ids, size)
+    n, prior, new = len(size), _prior(), ids[escaped]
     # Steps of a lane: its ids, each new one followed by one more.
-    extra = np.zeros((n, int(size[0])), np.int16)
-    extra[block, at] = escaped
-    np.cumsum(extra, 1, out=extra)
-    steps = size + extra[:, -1]
-    rank = np.argsort(-steps, kind="stable")
-    lane = np.empty(n, np.int64)
-    lane[rank] = np.arange(n)
-    at = (at + extra[block, at] - escaped) * n + lane[block]
-    where, width = np.zeros(int(steps.max()) * n, U), np.zeros(int(steps.max()) * n, U)
+    after = np.cumsum(escaped)
+    edge = np.concatenate(([0], np.cumsum(size)))
+    edge += np.concatenate(([0], after))[edge]
+    at = np.arange(len(ids)) + after - escaped
+    where, width = np.empty(edge[-1], U), np.empty(edge[-1], U)
     where[at], width[at] = low, wide
-    prior, at = _prior(), at[escaped] + n
-    where[at], width[at] = prior[ids] << (TOTAL - NEW), (prior[ids + 1] - prior[ids]) << (TOTAL - NEW)
-    del low, wide, at, block, extra
-    where, width = where.reshape(-1, n), width.reshape(-1, n)
-    shown, count, carry = np.zeros(where.shape, np.uint32), np.zeros(where.shape, np.uint8), np.zeros(where.shape, bool)
-    value, size_ = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    active = np.searchsorted(-steps[rank], -np.arange(where.shape[0]), "left")
-    for t, m in enumerate(active.tolist()):
-        unit = size_[:m] >> U(TOTAL)
-        add = unit * where[t, :m]
-        v = value[:m] + add
-        carry[t, :m] = v < add
-        r = unit * width[t, :m]
-        moved = (r < U(1 << 56)).astype(np.uint8)
-        for k in (48, 40, 32):
-            moved += r < U(1 << k)
-        bits = moved.astype(U) << U(3)
-        # The settled bytes leave at the top; shifts stay below 64.
-        shown[t, :m] = v >> U(32)
-        count[t, :m] = moved
-        value[:m], size_[:m] = v << bits, r << bits
-    # Bytes of each lane in order of time, then seven that end it; a carry goes to the byte before.
-    count = np.concatenate((count.T, np.full((n, 2), 4, np.uint8)), 1)
-    shown = np.concatenate((shown.T, (value >> U(32)).astype(np.uint32)[:, None], (value & U(0xFFFFFFFF)).astype(np.uint32)[:, None]), 1)
-    carry = carry.T
-    each = count.sum(1, dtype=np.int64)
-    data = np.ascontiguousarray(shown, ">u4").view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < count.reshape(-1, 1)].astype(np.int32)
-    before = np.cumsum(count, 1, dtype=np.int64) - count
-    start = np.cumsum(each) - each
-    lanes, times = np.nonzero(carry)
-    np.add.at(data, start[lanes] + before[lanes, times] - 1, 1)
-    while len(over := np.flatnonzero(data > 255)):
-        data[over] -= 256
-        np.add.at(data, over - 1, 1)
-    raw = data.astype(np.uint8)
+    at = at[escaped] + 1
+    where[at], width[at] = prior[new] << (TOTAL - NEW), (prior[new + 1] - prior[new]) << (TOTAL - NEW)
+    del low, wide, escaped, after, at
+    steps = np.diff(edge)
+    rank = np.argsort(-steps, kind="stable")
+    steps, longest = steps[rank], int(steps.max())
+    # A step whose interval is everything, as lanes that ended have, changes nothing; two last ones show the eight bytes that end a lane.
+    grid, moved, carry = np.zeros((n, longest + 2), U), np.zeros((n, longest + 2), np.uint8), np.zeros((n, longest + 2), bool)
+    share = np.full((n, longest), 1 << TOTAL, U)
+    for k, (i, m) in enumerate(zip(edge[rank].tolist(), steps.tolist())):
+        grid[k, :m], share[k, :m] = where[i : i + m], width[i : i + m]
+    del where, width
+    value, span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
+    for s in range(0, longest, STEPS):
+        e, m = min(s + STEPS, longest), int(np.searchsorted(-steps, -s, "left"))
+        _code(shown := grid[:m, s:e].T.copy(), shift := share[:m, s:e].T.copy(), over := np.empty((e - s, m), bool), value[:m], span[:m])
+        grid[:m, s:e], moved[:m, s:e], carry[:m, s:e] = shown.T, (shift >> U(3)).astype(np.uint8).T, over.T
+    lane = np.arange(n)
+    grid[lane, steps], grid[lane, steps + 1] = value, value << U(32)
+    moved[lane, steps], moved[lane, steps + 1] = 4, 4
+    moved, carry = moved.ravel(), np.flatnonzero(carry)
+    ends = np.cumsum(moved, dtype=np.int64)
+    at = np.flatnonzero(moved)
+    count, shown = moved[at], (grid.ravel()[at] >> U(32)).astype(np.uint32)
+    raw, at = np.empty(int(ends[-1]), np.uint8), ends[at] - count
+    for k in range(4):
+        raw[at + k] = shown >> np.uint32(24 - 8 * k)
+        more = np.flatnonzero(count > k + 1)
+        at, count, shown = at[more], count[more], shown[more]
+    # A carry goes to the byte before. None comes twice to a byte at a time: an interval passes its top once until bytes leave.
+    over = ends[carry] - moved[carry] - 1
+    while len(over):
+        raw[over] += np.uint8(1)
+        over = over[raw[over] == 0] - 1
+    data, edge = raw.tobytes(), [0, *ends[longest + 1 :: longest + 2].tolist()]
     out: list[bytes] = [b""] * n
-    for k, i in enumerate(rank.tolist()):
+    for i, a, b in zip(rank.tolist(), edge, edge[1:]):
         # Trailing zeros are what a decoder reads beyond the end.
-        out[i] = raw[start[k] : start[k] + each[k]].tobytes().rstrip(b"\0")
+        out[i] = data[a:b].rstrip(b"\0")
     return out
 
 
+def _code(where: np.ndarray, width: np.ndarray, carry: np.ndarray, value: np.ndarray, span: np.ndarray) -> None:
+    """Codes a step of all lanes by each row, given begins and widths, which are replaced by the registers before bytes leave and the number of bits that leave.
+
+    Those follow from the exponent of the new span as a double, from which bits are left out first that could round it up.
+    """
+    unit, left, add = (np.empty(len(value), U) for _ in range(3))
+    real = np.empty(len(value))
+    exponent, whole = real.view(U), add.view(np.int64)
+    digits, spare, fraction, base, bytes_ = (np.array(x, U) for x in (TOTAL, 11, 52, 63 + 1023 - 11, 56))
+    for v, w, over in zip(where, width, carry):
+        np.right_shift(span, digits, unit)
+        np.multiply(unit, v, add)
+        np.add(value, add, v)
+        np.less(v, add, over)
+        np.multiply(unit, w, left)
+        np.right_shift(left, spare, add)
+        np.copyto(real, whole)
+        np.right_shift(exponent, fraction, add)
+        np.subtract(base, add, add)
+        np.bitwise_and(add, bytes_, w)
+        np.left_shift(v, w, value)
+        np.left_shift(left, w, span)
+
+
 def decode(payloads: Sequence[bytes], sizes: Sequence[int]) -> list[np.ndarray]:
     """The ids of each block, given their number."""
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(payloads)
@@ -425,7 +443,7 @@ _PLAIN[33:127] = True
 
 
 #: Bits of the number of places in the table of known stretches.
-_TABLE = 19
+_TABLE = 21
 
 
 class Tokenizer:
