@@ -61,6 +61,26 @@ def test_saved_index_answers_like_the_scan(spark, tmp_path, monkeypatch):
     assert scores(empty.scored(["alpha"])) == scores(empty.phrase(["alpha"])) == scores(empty.filtered(F.lit(True))) == {}
 
 
+def test_index_reads_each_document_once(spark, tmp_path, monkeypatch):
+    """One pass over the texts, dealt out from a single partition; long batches are inverted a few words at a time."""
+    monkeypatch.setattr("lumenfold.operators.postings.WORDS", 7)
+    texts = ["the fox the", "", None, "a fox " * 9, "über den the"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return texts[i]
+
+    df = spark.range(0, 5, 1, 1).select("id", F.udf(read)("id").alias("a"))
+    index = IndexedCorpus.write(df, "id", ["a"], str(tmp_path / "index"))
+    assert seen.value == 5
+    rows = sorted((r["term"], r["id"], r["dl"], r["tf"], list(r["positions"])) for r in index._table("postings").where("term != ''").collect())
+    every = [0, 2, 4, 6, 8, 10, 12, 14, 16]
+    assert rows == [("a", 3, 18, 9, every), ("den", 4, 3, 1, [1]), ("fox", 0, 3, 1, [1]), ("fox", 3, 18, 9, [x + 1 for x in every]), ("the", 0, 3, 2, [0, 2]), ("the", 4, 3, 1, [2]), ("über", 4, 3, 1, [0])]
+    assert index.totals() == (5, 24 / 5)
+    assert not index.frequencies([""]) and ids(index.scored([""])) == []
+
+
 def test_phrase_order_slop_and_boost(spark):
     c = corpus(spark, [("adjacent", "the quick brown fox jumps"), ("scattered", "the quick red and brown fox"), ("turned", "brown quick"), ("missing", "a fox")])
     assert ids(c.phrase(["quick", "brown"])) == ["adjacent"]
