@@ -81,6 +81,19 @@ def test_index_reads_each_document_once(spark, tmp_path, monkeypatch):
     assert not index.frequencies([""]) and ids(index.scored([""])) == []
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_indexed_phrase_compares_places_by_document(spark, tmp_path):
+    """No row for each place: the same hits as by the scan, also where the terms are all there is."""
+    df = spark.createDataFrame([(0, "of the " * 50), (1, "the of x the"), (2, "of x x the"), (3, "the the of"), (4, "of of of"), (5, None)], "id int, a string")
+    c, index = Corpus.of(df, "id", ["a"]), IndexedCorpus.write(df, "id", ["a"], str(tmp_path / "index"))
+    for terms, slop, hits in ((["of", "the"], 0, [0]), (["of", "the"], 1, [0, 1]), (["of", "the"], 2, [0, 1, 2, 3]), (["of", "of"], 0, [4]), (["of"], 2, [0, 1, 2, 3, 4])):
+        assert sorted(scores(index.phrase(terms, slop))) == sorted(scores(c.phrase(terms, slop))) == hits
+    assert "Generate" not in plan(index.phrase(["of", "the"], 2))
+
+
 def test_phrase_order_slop_and_boost(spark):
     c = corpus(spark, [("adjacent", "the quick brown fox jumps"), ("scattered", "the quick red and brown fox"), ("turned", "brown quick"), ("missing", "a fox")])
     assert ids(c.phrase(["quick", "brown"])) == ["adjacent"]
