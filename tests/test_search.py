@@ -94,6 +94,20 @@ def test_indexed_phrase_compares_places_by_document(spark, tmp_path):
     assert "Generate" not in plan(index.phrase(["of", "the"], 2))
 
 
+def test_an_index_is_written_when_it_is_read(spark, sf_dir, tmp_path, monkeypatch):
+    from lumenfold.queries import ALL
+
+    (tmp_path / "tables").symlink_to(sf_dir)
+
+    def write(*args):
+        raise RuntimeError("written")
+
+    monkeypatch.setattr(IndexedCorpus, "write", write)
+    assert ALL["query_less"][0](spark, str(tmp_path / "tables")).collect() == []
+    with pytest.raises(RuntimeError, match="written"):
+        ALL["bm25_single"][0](spark, str(tmp_path / "tables"))
+
+
 def test_phrase_order_slop_and_boost(spark):
     c = corpus(spark, [("adjacent", "the quick brown fox jumps"), ("scattered", "the quick red and brown fox"), ("turned", "brown quick"), ("missing", "a fox")])
     assert ids(c.phrase(["quick", "brown"])) == ["adjacent"]
