@@ -94,6 +94,11 @@ def test_indexed_phrase_compares_places_by_document(spark, tmp_path):
     assert "Generate" not in plan(index.phrase(["of", "the"], 2))
 
 
+def test_scanned_phrase_splits_a_text_once_for_hits_and_once_for_statistics(spark):
+    found = corpus(spark, ["quick brown fox", "brown quick"]).phrase(["quick", "brown"])
+    assert ids(found) == ["d0"] and plan(found).count("split(") == 2
+
+
 def test_an_index_is_written_when_it_is_read(spark, sf_dir, tmp_path, monkeypatch):
     from lumenfold.queries import ALL
 
